@@ -27,19 +27,26 @@ def _brace(tags: tuple[str, ...]) -> str:
 
 def _at(tags: tuple[str, ...]) -> str:
     # A tag is the whole run after "@" up to a blank, tab or line break; an "@" inside a run begins none.
-    return r"(?<!@[^ \n\t]{0,64})@(" + "|".join(tags) + r")(?=[ \n\t]|\z)"
+    return r"@(?<!@[^ \n\t]{0,64}@)(" + "|".join(tags) + r")(?=[ \n\t]|\z)"
 
 
 def _section(text: Column, nones: tuple[str, ...]) -> Column:
-    t = strip(text)
-    state = F.when(t.isNull() | (t == ""), "absent").when(t.isin(*nones), "none") if nones else F.when(t.isNull() | (t == ""), "absent")
-    state = state.otherwise("present")
-    return F.struct(state.alias("state"), F.when(state == "present", t).alias("text"))
+    def of(t: Column) -> Column:
+        state = F.when(t.isNull() | (t == ""), "absent")
+        state = (state.when(t.isin(*nones), "none") if nones else state).otherwise("present")
+        return F.struct(state.alias("state"), F.when(state == "present", t).alias("text"))
 
+    return let(strip(text), of)
 
-def _parts(raw: Column, pattern: str) -> tuple[Column, Column]:
-    """(tag names in order, texts before, between and after them)."""
-    return F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)), F.split(raw, pattern, -1)
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parts(raw: Column, pattern: str) -> Column:
+    """Struct (names, texts): tag names in order; texts before, between and after them."""
+    return F.struct(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)).alias("names"), F.split(raw, pattern, -1).alias("texts"))
 
 
 def _named(names: Column, texts: Column, tag: str) -> Column:
@@ -47,43 +54,45 @@ def _named(names: Column, texts: Column, tag: str) -> Column:
     return F.when(at > 0, F.get(texts, at.cast("int")))
 
 
+def _sections(parts: Column, tags: tuple[str, ...], nones: dict[str, tuple[str, ...]]) -> Column:
+    cols = [_section(F.get(parts["texts"], F.lit(0)), nones.get("summary", ())).alias("summary")]
+    cols += [_section(_named(parts["names"], parts["texts"], t), nones.get(t, ())).alias(t.replace("-", "_")) for t in tags]
+    return F.struct(*cols)
+
+
 def parse_index(raw: Column) -> Column:
     """Struct of the sections of the ``index`` dialect: summary and the eight tags (``quint-module`` as quint_module)."""
-    raw = F.coalesce(raw, F.lit(""))
-    names, texts = _parts(raw, _brace(INDEX_TAGS))
-    cols = [_section(F.get(texts, F.lit(0)), ("(none)",)).alias("summary")]
-    cols += [_section(_named(names, texts, t), ("(none)",)).alias(t.replace("-", "_")) for t in INDEX_TAGS]
-    return F.struct(*cols)
+    nones = dict.fromkeys(("summary", *INDEX_TAGS), ("(none)",))
+    return let(_parts(F.coalesce(raw, F.lit("")), _brace(INDEX_TAGS)), lambda p: _sections(p, INDEX_TAGS, nones))
 
 
 def parse_lsp(raw: Column) -> Column:
     """Struct of the sections of the ``lsp`` dialect: summary and the six tags."""
     raw = F.coalesce(raw, F.lit(""))
-    b_names, b_texts = _parts(raw, _brace(LSP_TAGS))
-    a_names, a_texts = _parts(raw, _at(LSP_TAGS))
-    brace = F.size(b_names) >= F.size(a_names)
-
-    def pick(f) -> Column:
-        return F.when(brace, f(b_names, b_texts)).otherwise(f(a_names, a_texts))
-
-    cols = [_section(pick(lambda n, t: F.get(t, F.lit(0))), ()).alias("summary")]
-    for tag in LSP_TAGS:
-        nones = _NONE_SPELLINGS if tag in ("violators", "violates") else ()
-        cols.append(_section(pick(lambda n, t, tag=tag: _named(n, t, tag)), nones).alias(tag))
-    return F.struct(*cols)
+    nones = dict.fromkeys(("violators", "violates"), _NONE_SPELLINGS)
+    both = F.struct(_parts(raw, _brace(LSP_TAGS)).alias("b"), _parts(raw, _at(LSP_TAGS)).alias("a"))
+    picked = let(both, lambda x: F.when(F.size(x["b"]["names"]) >= F.size(x["a"]["names"]), x["b"]).otherwise(x["a"]))
+    return let(picked, lambda p: _sections(p, LSP_TAGS, nones))
 
 
 def _points(section: Column, present: int, none: int = 0) -> Column:
     return F.when(section["state"] == "present", present).when(section["state"] == "none", none).otherwise(0)
 
 
-def score_index(s: Column) -> Column:
+def score_index(sections: Column) -> Column:
     """0..100: summary 15, pre 15, post 20 ("none" counts), violators and violates 25 each, 12 for "none"."""
-    return _points(s["summary"], 15, 15) + _points(s["pre"], 15, 15) + _points(s["post"], 20, 20) + _points(s["violators"], 25, 12) + _points(s["violates"], 25, 12)
+    def total(s: Column) -> Column:
+        return _points(s["summary"], 15, 15) + _points(s["pre"], 15, 15) + _points(s["post"], 20, 20) + _points(s["violators"], 25, 12) + _points(s["violates"], 25, 12)
+
+    return let(sections, total)
 
 
-def score_lsp(s: Column) -> Column:
+def score_lsp(sections: Column) -> Column:
     """0..100, null if nothing is there: summary 15, pre 15, post 20, violators and violates 20 (12), tests 5, quint 5."""
+    return let(sections, _score_lsp)
+
+
+def _score_lsp(s: Column) -> Column:
     parts = ("summary", "pre", "post", "violators", "violates", "tests", "quint")
     total = (
         _points(s["summary"], 15) + _points(s["pre"], 15) + _points(s["post"], 20) + _points(s["violators"], 20, 12) + _points(s["violates"], 20, 12)
@@ -112,8 +121,11 @@ def violators_json(text: Column) -> Column:
         at = F.when(dash, F.instr(x, _DASH)).when(F.instr(x, "-") > 0, F.instr(x, "-")).otherwise(F.char_length(x))
         return F.struct(name.alias("name"), strip(F.substr(x, at + 1)).alias("reason"))
 
-    found = F.filter(F.transform(_kept_lines(text), entry), lambda e: e["name"] != "")
-    return F.when(~strip(text).isin(*_NONE_SPELLINGS) & (F.size(found) > 0), F.to_json(found))
+    def found(t: Column) -> Column:
+        kept = F.filter(F.transform(_kept_lines(t), entry), lambda e: e["name"] != "")
+        return let(kept, lambda k: F.when(~strip(t).isin(*_NONE_SPELLINGS) & (F.size(k) > 0), F.to_json(k)))
+
+    return let(text, found)
 
 
 def violator_entries(text: Column) -> Column:

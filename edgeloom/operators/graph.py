@@ -1,8 +1,8 @@
 """Closures and shortest paths over edge DataFrames, one driver-coordinated step per level.
 
 Edges are projected to distinct (src, dst), partitioned by ``src`` and cut once; a level joins the frontier with them and
-removes what was seen, so only frontiers move. Each level is cut in the shared folder, which bounds the plan and survives
-the loss of executors. A seed is part of its closure even if no edge knows it; null ends are never followed.
+removes what was seen, so only frontiers move. Each level is written to the shared folder, which bounds the plan and
+survives the loss of executors. A seed is part of its closure even if no edge knows it; null ends are never followed.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import cut
+from edgeloom.cluster import cut, cut_partitioned
 
 #: Levels kept as separate frames before the visited set is written as one.
 COMPACT = 12
@@ -21,7 +21,7 @@ def edge_set(calls: DataFrame, src: str, dst: str, kinds: tuple[str, ...] | None
     e = calls if kinds is None else calls.where(F.col("kind").isin(*kinds))
     a, b = (dst, src) if backward else (src, dst)
     e = e.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src is not null and dst is not null").distinct()
-    return cut(e.repartition("src"))
+    return cut_partitioned(e.repartition("src"))
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -38,8 +38,8 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
         if frontier.isEmpty():
             break
         seen, frames = seen.unionByName(frontier), frames + 1
-        if frames >= COMPACT:
-            seen, frames = cut(seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")))), 1
+        if frames == COMPACT:
+            seen, frames = cut(seen), 1
     return seen
 
 

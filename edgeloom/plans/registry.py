@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from edgeloom.plans import quality
+from edgeloom.plans import api, etl, quality, verb_queries, views
 
-FLAGSHIP = "p1_orphans_by_period"
-QUERIES = {**quality.QUERIES}
-SQL = {**quality.SQL}
+FLAGSHIP = "unreachable"
+QUERIES = {**quality.QUERIES, **verb_queries.QUERIES, **views.QUERIES, **api.QUERIES, **etl.QUERIES}
+SQL = {**quality.SQL, **verb_queries.SQL, **views.SQL, **api.SQL, **etl.SQL}

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import table
+from edgeloom.cluster import cut, table
 from edgeloom.schemas import KINDS
 
 
@@ -53,6 +53,11 @@ class Store:
         c = self.calls.join(f, "caller_id").join(g, "callee_id", "left")
         return c.select("id", "caller_id", "callee_id", "caller_name", "caller_file", "callee_name", "callee_file", "call_site", "kind", "raw_kind")
 
+    @cached_property
+    def graph(self) -> DataFrame:
+        """The flat calls, written once: for questions that walk them level by level."""
+        return cut(self.flat_calls)
+
     @cached_property
     def effects(self) -> DataFrame:
         return self.raw("function_effects").drop("created_at").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.cluster import cut
 from edgeloom.plans import verbs as v
 from edgeloom.plans.substrate import Store, sql
 from edgeloom.schemas import CONTRACT, CONTRACT_KEY, RESOLVED
@@ -15,7 +16,7 @@ PATTERN, COMPONENT, OTHER, VALUE_KIND, GUARD, TOUCHED = "store_", "store", "core
 
 def hub(s: Store) -> str:
     """The caller with most MUST calls, ties by name: the fixed argument of the one-root verbs."""
-    g = s.flat_calls.where("kind = 'MUST'").groupBy("caller_name").count().orderBy(F.desc("count"), "caller_name").first()
+    g = s.graph.where("kind = 'MUST'").groupBy("caller_name").count().orderBy(F.desc("count"), "caller_name").first()
     return g.caller_name if g else ""
 
 
@@ -24,11 +25,11 @@ HUB = "(SELECT caller_name FROM fc WHERE kind = 'MUST' GROUP BY 1 ORDER BY count
 
 def pairs(s: Store) -> DataFrame:
     """(a, b): five callers, three with most and two with fewest MUST calls, against the first and the last name."""
-    g = s.flat_calls.where("kind = 'MUST'").groupBy("caller_name").count()
+    g = cut(s.graph.where("kind = 'MUST'").groupBy("caller_name").count())
     most = g.orderBy(F.desc("count"), "caller_name").limit(3).select(F.col("caller_name").alias("a"))
     least = g.orderBy("count", "caller_name").limit(2).select(F.col("caller_name").alias("a"))
     ends = s.functions.agg(F.array_distinct(F.array(F.min("name"), F.max("name"))).alias("b")).select(F.explode("b").alias("b"))
-    return most.union(least).distinct().join(F.broadcast(ends))
+    return cut(most.union(least).distinct().join(F.broadcast(ends)))  # at most ten rows
 
 
 PAIRS = """SELECT a, b FROM (SELECT a FROM (SELECT caller_name AS a FROM fc WHERE kind = 'MUST' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)
@@ -40,12 +41,12 @@ def _q(f):
 
 
 def _checked(s: Store) -> DataFrame:
-    v.require_contract(s.flat_calls, META)
-    return s.flat_calls
+    v.require_contract(s.graph, META)
+    return s.graph
 
 
 def dead_named(s: Store) -> DataFrame:
-    return v.dead_code(s.flat_calls, s.functions, v.roots_named(s.functions, [hub(s)]), contract=False)
+    return v.dead_code(s.graph, s.functions, v.roots_named(s.functions, [hub(s)]), contract=False)
 
 
 def action(s: Store) -> str:
@@ -59,15 +60,15 @@ def contract_meta(s: Store) -> DataFrame:
 
 QUERIES = {
     "callers_of": _q(lambda s: v.callers_of(s.flat_calls, "Corelib.Result.bind")),
-    "callees_of": _q(lambda s: v.callees_of(s.flat_calls, hub(s))),
-    "reachable_from": _q(lambda s: v.reachable_from(s.flat_calls, hub(s))),
-    "reaches": _q(lambda s: v.reaches(s.flat_calls, pairs(s))),
-    "reaches_main": _q(lambda s: v.reaches_main(s.functions, s.calls, pairs(s))),
+    "callees_of": _q(lambda s: v.callees_of(s.graph, hub(s))),
+    "reachable_from": _q(lambda s: v.reachable_from(s.graph, hub(s))),
+    "reaches": _q(lambda s: v.reaches(s.graph, pairs(s))),
+    "reaches_main": _q(lambda s: v.reaches_main(s.functions, s.graph, pairs(s))),
     "unreachable": _q(lambda s: v.unreachable(_checked(s), pairs(s))),
-    "unreachable_main": _q(lambda s: v.unreachable_main(s.functions, s.calls, pairs(s))),
+    "unreachable_main": _q(lambda s: v.unreachable_main(s.functions, s.graph, pairs(s))),
     "require_contract": _q(lambda s: v.contract_report(s.flat_calls)),
     "escapes": _q(lambda s: v.escapes(_checked(s), hub(s))),
-    "escapes_main": _q(lambda s: v.escapes_main(s.functions, s.flat_calls, hub(s))),
+    "escapes_main": _q(lambda s: v.escapes_main(s.functions, s.graph, hub(s))),
     "fan_in": _q(lambda s: v.fan_in(s.flat_calls)),
     "exported": _q(lambda s: v.exported(s.functions)),
     "exported_main": _q(lambda s: v.exported_main(s.functions, s.modules)),
@@ -76,9 +77,9 @@ QUERIES = {
     "stats": _q(lambda s: v.stats(s.functions, s.calls)),
     "stats_kinds": _q(lambda s: v.kind_stats(s.calls, "raw_kind")),
     "stats_effects": _q(lambda s: v.effect_stats(s.effects)),
-    "mutators_of": _q(lambda s: v.mutators_of(s.flat_calls, s.functions, s.effects, VALUE_KIND)),
-    "effects_of": _q(lambda s: v.effects_of(s.flat_calls, s.effects, hub(s))),
-    "pure_fns": _q(lambda s: v.pure_fns(s.flat_calls, s.functions, s.effects)),
+    "mutators_of": _q(lambda s: v.mutators_of(s.graph, s.functions, s.effects, VALUE_KIND)),
+    "effects_of": _q(lambda s: v.effects_of(s.graph, s.effects, hub(s))),
+    "pure_fns": _q(lambda s: v.pure_fns(s.graph, s.functions, s.effects)),
     "dead_code": _q(lambda s: v.dead_code(_checked(s), s.functions, v.roots_exported(s.functions), contract=True)),
     "dead_code_roots": _q(dead_named),
     "capabilities_of": _q(lambda s: v.capabilities_of(s.effects, COMPONENT)),
