@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about this many bytes (a longer text is a slice of its own), which bounds memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def bytes_and_offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -199,10 +199,14 @@ def canonical(texts: pa.Array) -> pa.Array:
 
 
 @arrow_udf(StringType())
-def canonical_form(texts: pa.Array) -> pa.Array:
+def _canonical_form(texts: pa.Array) -> pa.Array:
     return canonical(texts).cast(pa.string())
 
 
+#: Marked so that no filter on the form is pushed below it, which would compute the form twice.
+canonical_form = _canonical_form.asNondeterministic()
+
+
 def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text): every text in its consistent form."""
     return df.select(df[id_col].alias(id_col), canonical_form(df[text_col]).alias("text"))
