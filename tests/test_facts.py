@@ -127,7 +127,6 @@ def one(spark, value, *exprs):
     return spark.createDataFrame([(value,)], "t string").select(*exprs).first()
 
 
-INDEX, LSP = comments.parse_index(F.col("t")), comments.parse_lsp(F.col("t"))
 
 
 @pytest.mark.parametrize(
@@ -138,7 +137,8 @@ INDEX, LSP = comments.parse_index(F.col("t")), comments.parse_lsp(F.col("t"))
     ],
 )
 def test_scores(spark, value, index, lsp):
-    assert tuple(one(spark, value, comments.score_index(INDEX), comments.score_lsp(LSP))) == (index, lsp)
+    a, b = comments.parse_index(F.col("t")), comments.parse_lsp(F.col("t"))
+    assert tuple(one(spark, value, comments.score_index(a), comments.score_lsp(b))) == (index, lsp)
 
 
 def test_entries(spark):
