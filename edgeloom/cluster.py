@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most this many (narrow) rows.
@@ -41,10 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_partitioned(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a checkpoint, which keeps the hash partitioning for joins that come again and again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def global_rank(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with the 1-based rank of the distinct values of ``order``, without one task seeing all rows.
+
+    Rows are range-partitioned and cut; ranks count within a part, after the sizes of the parts before it.
+    """
+    parts = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per part
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.join(before, "_part").withColumn(name, (within + F.col("_before")).cast("bigint")).drop("_part", "_before")
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,6 +1,6 @@
 """Closures and shortest paths over edge DataFrames, one driver-coordinated step per level.
 
-Edges are projected to distinct (src, dst), partitioned by ``src`` and cut once; a level joins the frontier with them and
+Edges are projected to distinct (src, dst) and cut once; a level joins the frontier with them and
 removes what was seen, so only frontiers move. Each level is written to the shared folder, which bounds the plan and
 survives the loss of executors. A seed is part of its closure even if no edge knows it; null ends are never followed.
 """
@@ -10,18 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import cut, cut_partitioned
+from edgeloom.cluster import cut
 
 #: Levels kept as separate frames before the visited set is written as one.
 COMPACT = 12
 
 
 def edge_set(calls: DataFrame, src: str, dst: str, kinds: tuple[str, ...] | None = None, backward: bool = False) -> DataFrame:
-    """Distinct (src, dst) of calls of the given kinds, reversed on demand, partitioned by src."""
+    """Distinct (src, dst) of calls of the given kinds, reversed on demand.
+
+    They lie spread by both ends, so a hub's edges are in many parts. A small frontier is broadcast to them; a large one
+    meets them in a shuffle join, whose hot keys the adaptive planner splits.
+    """
     e = calls if kinds is None else calls.where(F.col("kind").isin(*kinds))
     a, b = (dst, src) if backward else (src, dst)
     e = e.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src is not null and dst is not null").distinct()
-    return cut_partitioned(e.repartition("src"))
+    return cut(e)
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -59,7 +59,7 @@ def resolve_calls(pending: DataFrame, functions: DataFrame) -> DataFrame:
     look = _lookup(functions)
     callers = look.select(F.col("at").alias("caller_module"), F.col("fn").alias("caller_name"), F.col("fid").alias("caller_id"))
     mods = module_map(functions.select(F.col("file_path").alias("path")))
-    p = pending.join(callers, ["caller_module", "caller_name"]).withColumn("mod", last_segments(F.col("head_module"), 1)).join(F.broadcast(mods), "mod", "left")
+    p = pending.join(callers, ["caller_module", "caller_name"]).withColumn("mod", last_segments(F.col("head_module"), 1)).join(mods, "mod", "left")
     p = p.withColumn("at", F.when(F.col("head_module").isNull(), F.col("caller_module")).otherwise(F.col("mod_path")))
     p = p.join(look.withColumnRenamed("fn", "head_name"), ["at", "head_name"], "left")
     unknown = F.col("head_kind") == "unknown"

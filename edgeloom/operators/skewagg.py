@@ -26,8 +26,7 @@ SALTS = 64
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """(k) of keys with at least ``share`` of all rows: at most 1/share rows."""
     counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).where(F.col("n") >= share * F.col("total")).select("k")
+    return counts.where(F.col("n") >= share * df.count()).select("k")
 
 
 def salted_stats(
@@ -66,7 +65,6 @@ def salted_stats(
 
 def keys_of_share(stats: DataFrame, key: str, share: float) -> DataFrame:
     """Keys whose rows are at least ``share`` of all rows; null is no name and is left out."""
-    total = stats.agg(F.sum("n_rows").alias("total"))
-    return (
-        stats.join(F.broadcast(total)).where((F.col("n_rows") >= share * F.col("total")) & F.col(key).isNotNull()).select(key)
-    )
+    stats = cut(stats)
+    total = stats.agg(F.sum("n_rows")).first()[0] or 0
+    return stats.where((F.col("n_rows") >= share * total) & F.col(key).isNotNull()).select(key)

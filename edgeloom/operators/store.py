@@ -39,8 +39,9 @@ def insert_edges(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
 
 def insert_counts(new: DataFrame, inserted: DataFrame) -> DataFrame:
     """(inserted, skipped)."""
-    n = new.agg(F.count(F.lit(1)).alias("n"))
-    return inserted.agg(F.count(F.lit(1)).alias("inserted")).join(F.broadcast(n)).select("inserted", (F.col("n") - F.col("inserted")).alias("skipped"))
+    both = new.select(F.lit(0).alias("i")).unionByName(inserted.select(F.lit(1).alias("i")))
+    n = F.count(F.lit(1))
+    return both.agg(F.coalesce(F.sum("i"), F.lit(0)).alias("inserted"), (n - 2 * F.coalesce(F.sum("i"), F.lit(0))).alias("skipped"))
 
 
 CAPABILITY_COLUMNS = ("actor_role", "temporal_class", "precondition", "gating", "value_touched")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.cluster import global_rank
 from edgeloom.operators.graph import edge_set, neighborhood, shortest_paths
 from edgeloom.plans.substrate import Store
 from edgeloom.plans.verb_queries import HUB, PAIRS, hub, pairs
@@ -18,9 +19,9 @@ CAP = 2000
 
 @view("SELECT dense_rank() OVER (ORDER BY file_path) AS id, file_path AS path FROM (SELECT DISTINCT file_path FROM fn WHERE file_path IS NOT NULL)")
 def api_modules(s: Store) -> DataFrame:
-    """Files numbered in order of their paths; one row per file goes into the one window."""
+    """Files numbered in order of their paths."""
     files = s.functions.where("file_path is not null").select(F.col("file_path").alias("path")).distinct()
-    return files.select(F.dense_rank().over(Window.orderBy("path")).alias("id"), "path")
+    return global_rank(files, "path", "id").select("id", "path")
 
 
 def functions_in(functions: DataFrame, file_path: str | None = None, exposed: bool | None = None, min_score: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.cluster import cut
 from edgeloom.errors import RefusedError
 from edgeloom.operators.graph import closure, edge_set, one_root
 from edgeloom.schemas import CONTRACT, KINDS, RESOLVED, TOP
@@ -98,8 +99,9 @@ def find(functions: DataFrame, pattern: str) -> DataFrame:
 
 
 def stats(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    f = functions.agg(F.count(F.lit(1)).alias("functions"), F.count_if(F.col("exported") == 1).alias("exported"))
-    return f.join(F.broadcast(calls.agg(F.count(F.lit(1)).alias("call_edges"))))
+    f = functions.select(F.lit(1).alias("f"), F.when(F.col("exported") == 1, 1).otherwise(0).alias("e"), F.lit(0).alias("c"))
+    both = f.unionByName(calls.select(F.lit(0).alias("f"), F.lit(0).alias("e"), F.lit(1).alias("c")))
+    return both.agg(F.sum("f").alias("functions"), F.sum("e").alias("exported"), F.sum("c").alias("call_edges"))
 
 
 def kind_stats(calls: DataFrame, kind: str = "kind") -> DataFrame:
@@ -140,11 +142,11 @@ def reaches(calls: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _id_seeds(functions: DataFrame, pairs: DataFrame) -> DataFrame:
-    return functions.join(F.broadcast(pairs.select(F.col("a").alias("name")).distinct()), "name").select(F.col("name").alias("root"), F.col("id").alias("n"))
+    return functions.join(pairs.select(F.col("a").alias("name")).distinct(), "name").select(F.col("name").alias("root"), F.col("id").alias("n"))
 
 
 def _hits(functions: DataFrame, reached: DataFrame, pairs: DataFrame) -> DataFrame:
-    ends = functions.join(F.broadcast(pairs.select(F.col("b").alias("name")).distinct()), "name").select(F.col("id").alias("n"), F.col("name").alias("b"))
+    ends = functions.join(pairs.select(F.col("b").alias("name")).distinct(), "name").select(F.col("id").alias("n"), F.col("name").alias("b"))
     return reached.join(ends, "n").select(F.col("root").alias("a"), "b").distinct().withColumn("hit", F.lit(True))
 
 
@@ -284,19 +286,25 @@ def removes_guard(edges: DataFrame, effects: DataFrame, guard: str) -> DataFrame
     return gated.join(e, "function_name", "left").select(F.col("function_name").alias("gated_action"), "gating", F.col("from_action").alias("unlocker"), "evidence")
 
 
+#: Rows of a side in one cell of the grid of an unequal join.
+CELL = 4096
+
+
 def actor_paths(effects: DataFrame, value_kind: str) -> DataFrame:
     """Pairs of actions of different roles that touch the kind; both orders are given.
 
-    Roles are few: the pairs of unequal roles are formed first, then each side's actions are joined on its role, so the
-    unequal join runs over roles only.
+    The result is quadratic in the touching actions by definition. It is made as a join on the cells of a grid: each row
+    is copied along one row or column of cells, so no cell holds more than CELL rows of a side.
     """
     touched = F.col("value_kind").eqNullSafe(value_kind) | F.lower(F.coalesce("value_touched", F.lit(""))).like(f'%"kind":"{value_kind}"%')
     side = effects.where(touched & F.col("actor_role").isNotNull()).select("function_name", "actor_role", "value_touched").distinct()
-    roles = side.select("actor_role").distinct()
-    pairs = roles.select(F.col("actor_role").alias("actor_a")).join(roles.select(F.col("actor_role").alias("actor_b")), F.col("actor_a") != F.col("actor_b"))
-    a = side.select(F.col("function_name").alias("action_a"), F.col("actor_role").alias("actor_a"), F.col("value_touched").alias("value_touched_a"))
-    b = side.select(F.col("function_name").alias("action_b"), F.col("actor_role").alias("actor_b"), F.col("value_touched").alias("value_touched_b"))
-    out = pairs.join(a, "actor_a").join(b, "actor_b").where(F.col("action_a") != F.col("action_b"))
+    side = cut(side)
+    grid = max(1, -(-side.count() // CELL))
+    own = F.pmod(F.xxhash64("function_name", "actor_role", "value_touched"), F.lit(grid)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
+    a = side.select(F.col("function_name").alias("action_a"), F.col("actor_role").alias("actor_a"), F.col("value_touched").alias("value_touched_a"), own.alias("i")).withColumn("j", every)
+    b = side.select(F.col("function_name").alias("action_b"), F.col("actor_role").alias("actor_b"), F.col("value_touched").alias("value_touched_b"), own.alias("j")).withColumn("i", every)
+    out = a.join(b, ["i", "j"]).where((F.col("action_a") != F.col("action_b")) & (F.col("actor_a") != F.col("actor_b")))
     return out.select("action_a", "actor_a", "action_b", "actor_b", "value_touched_a", "value_touched_b")
 
 

@@ -1,6 +1,7 @@
 """Loaders, sidecars, upserts, resolution, post-dominance, comments, scanners and diffs on literal fixtures."""
 
 import json
+import time
 
 import pytest
 from edgeloom.errors import LoadError
@@ -221,3 +222,20 @@ def test_sorted_records_are_written(spark, tmp_path):
     f2, c2, _ = ndjson.callgraph(ndjson.read_lines(spark, str(tmp_path / "out")))
     assert f2.count() == 2 and c2.count() == 1
     assert "name" in store.boxed(fn)
+
+
+def test_post_dominance_of_a_long_function():
+    """2,000 branches in a row: joins always run, arms never do, in one descending pass."""
+    edges = [e for i in range(2000) for e in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 3), (3 * i + 2, 3 * i + 3))] + [(6000, -1)]
+    began = time.perf_counter()
+    got = resolve.always_blocks(edges)
+    assert time.perf_counter() - began < 2
+    assert {b for b, a, _ in got if a} == set(range(0, 6001, 3)) and all(r for _, _, r in got)
+
+
+def test_equal_places_and_ranks(spark):
+    from edgeloom.cluster import global_rank
+
+    df = spark.createDataFrame([(f"p{i:04}",) for i in range(500)], "path string").repartition(7)
+    assert {r.path: r.id for r in global_rank(df, "path", "id").collect()} == {f"p{i:04}": i + 1 for i in range(500)}
+    assert global_rank(df.limit(0), "path", "id").count() == 0

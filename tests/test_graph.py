@@ -110,3 +110,13 @@ def test_neighborhood_caps_nearest_first(spark):
     start = spark.createDataFrame([("a",)], "n string")
     assert [tuple(r) for r in graph.neighborhood(e, start, 2, 100).collect()] == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
     assert [r.n for r in graph.neighborhood(e, start, 9, 3).collect()] == ["a", "b", "c"]
+
+
+def test_actor_paths_over_a_grid(spark, monkeypatch):
+    rows = [(f"f{i}", f"r{i % 3}" if i % 4 else None, "HashTbl" if i % 2 else "HeapRef", '[{"kind":"hashtbl"}]' if i % 5 == 0 else None) for i in range(40)]
+    fx = spark.createDataFrame(rows, "function_name string, actor_role string, value_kind string, value_touched string")
+    mine = [r for r in rows if r[1] and r[2] == "HashTbl"]
+    want = sorted((a[0], a[1], b[0], b[1]) for a in mine for b in mine if a[0] != b[0] and a[1] != b[1])
+    for cell in (4096, 3):
+        monkeypatch.setattr(v, "CELL", cell)
+        assert sorted((r.action_a, r.actor_a, r.action_b, r.actor_b) for r in v.actor_paths(fx, "HashTbl").collect()) == want
