@@ -25,7 +25,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from edgeloom.cluster import cut
-from edgeloom.llm.arrowtext import SLICE_BYTES, bytes_and_offsets, ranges, strings
+from edgeloom.llm.arrowtext import bytes_and_offsets, ranges, strings
 
 #: Letters of other scripts that look like the Latin letter below them.
 _OTHERS = "АВЕЅІЈКМНОРСТХԚԜҺӀΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹасеорхуѕіјһԁԛԝѵӏοϲϳɑɡօ"
@@ -33,6 +33,8 @@ _LATINS = "ABESIJKMHOPCTXQWHIABEZHIKMNOPTYXCaceopxysijhdqwvlocjago"
 #: Format characters that are seen, and so are kept.
 _SEEN_FORMAT = [*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD]
 _TOP = 0x110000
+#: Bytes of text whose code points are in memory at once; an index of 8 bytes stands beside each of them.
+SLICE_BYTES = 1 << 20
 #: Members of one group of agreeing texts that are paired in one task; larger groups are spread.
 GROUP = 4096
 

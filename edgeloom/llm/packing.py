@@ -121,16 +121,15 @@ def pack(items: DataFrame, capacities: Mapping[int, int], id_col: str, size_col:
     """(size_id, item, piece, container, tokens): for each capacity, the container of each piece of each item."""
     if any(c < 1 for c in capacities.values()):
         raise ValueError("capacities must be at least 1")
-    spark = items.sparkSession
     sizes = cut(items.select(F.col(id_col).cast("bigint").alias("item"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("n")))
     salts = max(1, -(-sizes.count() // ITEMS_PER_GROUP))
-    caps = spark.createDataFrame([(int(k), int(v)) for k, v in capacities.items()], "size_id int, capacity bigint")
+    caps = F.array(*(F.struct(F.lit(int(k)).alias("size_id"), F.lit(int(v)).cast("bigint").alias("capacity")) for k, v in capacities.items()))
     whole = F.expr("n div capacity")
     rest = F.col("n") % F.col("capacity")
     lengths = F.when(rest > 0, F.concat(F.array_repeat("capacity", whole.cast("int")), F.array(rest))).when(
         F.col("n") == 0, F.array(F.lit(0).cast("bigint"))
     ).otherwise(F.array_repeat("capacity", whole.cast("int")))
-    pieces = sizes.join(F.broadcast(caps)).select("size_id", "item", F.posexplode(lengths).alias("piece", "tokens"))
+    pieces = sizes.select("item", "n", F.inline(caps)).select("size_id", "item", F.posexplode(lengths).alias("piece", "tokens"))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(salts)).cast("int"))
 
     tally = cut(pieces.groupBy("size_id", "tokens", "salt").agg(F.count(F.lit(1)).alias("n")))
