@@ -214,13 +214,17 @@ def always_blocks(edges: list[tuple[int, int]]) -> list[tuple[int, bool, bool]]:
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("block", pa.int32()), ("always", pa.bool_()), ("reachable", pa.bool_())]))
     for b in batches:
-        out = [
-            [dict(zip(("block", "always", "reachable"), x)) for x in always_blocks([(e["src"], e["dst"]) for e in es])]
-            for es in b.column("edges").to_pylist()
-        ]
-        yield pa.RecordBatch.from_arrays([b.column("fn"), pa.array(out, kind)], names=["fn", "blocks"])
+        graphs = b.column("edges")
+        at = graphs.offsets.to_pylist()
+        ends = list(zip(*(graphs.flatten().field(c).to_pylist() for c in ("src", "dst"))))
+        rows, upto = [], [0]
+        for lo, hi in zip(at, at[1:]):
+            rows += always_blocks(ends[lo - at[0] : hi - at[0]])
+            upto.append(len(rows))
+        blocks, always, reachable = zip(*rows) if rows else ((), (), ())
+        flat = pa.StructArray.from_arrays([pa.array(blocks, pa.int32()), pa.array(always, pa.bool_()), pa.array(reachable, pa.bool_())], names=["block", "always", "reachable"])
+        yield pa.RecordBatch.from_arrays([b.column("fn"), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat)], names=["fn", "blocks"])
 
 
 def cfg_solve(edges: DataFrame) -> DataFrame:
