@@ -682,10 +682,15 @@ def f_md5_trim(s: Store) -> DataFrame:
 
 @view("")
 def f_strip_inline_comment(s: Store) -> DataFrame:
-    """The part of a text's first line before a number sign outside quotes."""
-    first = F.substring_index("text", "\n", 1)
-    kept = F.regexp_extract(first, "^(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\"'#])*+", 0)
-    return docs(s).select("doc_id", text.strip(kept).alias("kept"))
+    """The part of every line of a text before a number sign outside quotes; lines count from 1."""
+    return stripped_lines(docs(s))
+
+
+def stripped_lines(texts: DataFrame) -> DataFrame:
+    """(doc_id, line_no, kept) of (doc_id, text): quotes do not go on over a line's end."""
+    each = texts.select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("at", "line"))
+    kept = F.regexp_extract("line", "^(?:\"[^\"]*(?:\"|\\z)|'[^']*(?:'|\\z)|[^\"'#]++)*+", 0)
+    return each.select("doc_id", (F.col("at") + 1).alias("line_no"), text.strip(kept).alias("kept"))
 
 
 QUERIES = {k: v for k, v in _Q.items() if k not in _BEFORE}
