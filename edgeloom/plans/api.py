@@ -41,32 +41,62 @@ def api_functions(s: Store) -> DataFrame:
     return functions_in(s.functions, exposed=True, min_score=30)
 
 
-_NB = {
-    "r__n, depth_end": f"SELECT {HUB}, 0 UNION SELECT u.b, r.depth + 1 FROM r JOIN (SELECT caller_name AS a, callee_name AS b FROM fc UNION SELECT callee_name, caller_name FROM fc) u ON u.a = r.n WHERE r.depth < 1",
-    "nb": f"SELECT n, min(depth) AS depth FROM r GROUP BY 1 ORDER BY 2, 1 LIMIT {CAP}",
-}
+def _nb(depth: int) -> dict[str, str]:
+    return {
+        "r__n, depth_end": f"SELECT {HUB}, 0 UNION SELECT u.b, r.depth + 1 FROM r JOIN (SELECT caller_name AS a, callee_name AS b FROM fc UNION SELECT callee_name, caller_name FROM fc) u ON u.a = r.n WHERE r.depth < {depth}",
+        "nb": f"SELECT n, min(depth) AS depth FROM r GROUP BY 1 ORDER BY 2, 1 LIMIT {CAP}",
+    }
+
+
+_NB = _nb(1)
+#: The depth of a request that gives none.
+DEPTH = 2
 
 
 def neighbors(s: Store, depth: int) -> DataFrame:
     start = s.spark.createDataFrame([(hub(s),)], "n string")
-    return neighborhood(edge_set(s.graph, "caller_name", "callee_name"), start, depth, CAP)
+    edges = s.graph.select(F.col("caller_name").alias("src"), F.col("callee_name").alias("dst")).where("src is not null and dst is not null")
+    return neighborhood(edges, start, depth, CAP)  # which makes them distinct and writes them, once
+
+
+_NEAR = "SELECT n AS name, depth FROM nb WHERE n IN (SELECT name FROM fn)"
+_NEAR_EDGES = """SELECT caller_name, callee_name, call_site FROM (SELECT caller_name, callee_name, min(call_site) AS call_site FROM fc WHERE caller_name IN (SELECT n FROM nb) AND callee_name IN (SELECT n FROM nb)
+ AND callee_name IN (SELECT name FROM fn) GROUP BY 1, 2)"""
+
+
+def indexed_neighbors(s: Store, depth: int) -> DataFrame:
+    names = s.functions.select(F.col("name").alias("n")).where("n is not null").distinct()
+    return neighbors(s, depth).join(names, "n", "left_semi")
+
+
+def edges_between(s: Store, depth: int) -> DataFrame:
+    near = indexed_neighbors(s, depth).select("n")
+    e = s.graph.join(near.withColumnRenamed("n", "caller_name"), "caller_name", "left_semi").join(near.withColumnRenamed("n", "callee_name"), "callee_name", "left_semi")
+    return e.groupBy("caller_name", "callee_name").agg(F.min("call_site").alias("call_site"))
 
 
-@view("SELECT n AS name, depth FROM nb WHERE n IN (SELECT name FROM fn)", **_NB)
+@view(_NEAR, **_NB)
 def api_neighborhood(s: Store) -> DataFrame:
     """Indexed functions within one step of the hub in either direction, nearest first, at most 2000."""
-    names = s.functions.select(F.col("name").alias("n")).where("n is not null").distinct()
-    return neighbors(s, 1).join(names, "n", "left_semi").select(F.col("n").alias("name"), "depth")
+    return indexed_neighbors(s, 1).select(F.col("n").alias("name"), "depth")
 
 
-@view("""SELECT caller_name, callee_name, call_site FROM (SELECT caller_name, callee_name, min(call_site) AS call_site FROM fc WHERE caller_name IN (SELECT n FROM nb) AND callee_name IN (SELECT n FROM nb)
- AND callee_name IN (SELECT name FROM fn) GROUP BY 1, 2)""", **_NB)
+@view(_NEAR_EDGES, **_NB)
 def api_neighborhood_edges(s: Store) -> DataFrame:
     """Edges between indexed neighbours, one per pair with its least site; certainty is not given here."""
-    names = s.functions.select(F.col("name").alias("n")).where("n is not null").distinct()
-    near = neighbors(s, 1).select("n").join(names, "n", "left_semi")
-    e = s.graph.join(near.withColumnRenamed("n", "caller_name"), "caller_name", "left_semi").join(near.withColumnRenamed("n", "callee_name"), "callee_name", "left_semi")
-    return e.groupBy("caller_name", "callee_name").agg(F.min("call_site").alias("call_site"))
+    return edges_between(s, 1)
+
+
+@view(_NEAR, **_nb(DEPTH))
+def api_neighborhood_default(s: Store) -> DataFrame:
+    """As ``api_neighborhood`` within the default depth."""
+    return indexed_neighbors(s, DEPTH).select(F.col("n").alias("name"), "depth")
+
+
+@view(_NEAR_EDGES, **_nb(DEPTH))
+def api_neighborhood_edges_default(s: Store) -> DataFrame:
+    """As ``api_neighborhood_edges`` within the default depth."""
+    return edges_between(s, DEPTH)
 
 
 _FILE = "(SELECT file_path FROM fn WHERE file_path IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"

@@ -1,6 +1,6 @@
 """Queries do the whole job: every line, step, row and definition."""
 
-from edgeloom.plans import etl
+from edgeloom.plans import api, etl, registry
 from edgeloom.sources import sidecar
 
 
@@ -9,3 +9,15 @@ def test_every_line_is_stripped(spark):
     got = etl.stripped_lines(spark.createDataFrame([(1, source), (2, "")], "doc_id long, text string")).collect()
     want = [(1, i, sidecar.without_comment(x)) for i, x in enumerate(source.split("\n"), 1)] + [(2, 1, "")]
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_neighborhood_has_the_default_depth(spark):
+    from types import SimpleNamespace
+
+    edges = [("h", "a"), ("h", "b"), ("c", "a"), ("b", "d"), ("d", "e"), ("h", "x")]
+    graph = spark.createDataFrame([(*e, "s", "MUST") for e in edges], "caller_name string, callee_name string, call_site string, kind string")
+    functions = spark.createDataFrame([(n,) for n in "habcde"], "name string")
+    s = SimpleNamespace(spark=spark, graph=graph, functions=functions)
+    assert api.DEPTH == 2 and {"api_neighborhood_default", "api_neighborhood_edges_default"} <= set(registry.QUERIES)
+    assert {r.n: r.depth for r in api.indexed_neighbors(s, api.DEPTH).collect()} == {"h": 0, "a": 1, "b": 1, "c": 2, "d": 2}
+    assert sorted((r.caller_name, r.callee_name) for r in api.edges_between(s, api.DEPTH).collect()) == [("b", "d"), ("c", "a"), ("h", "a"), ("h", "b")]
