@@ -68,11 +68,24 @@ def relative_to(path: Column, root: str) -> Column:
 
 
 def list_or_scalar(c: Column) -> Column:
-    """``[a, b]`` or ``a, b`` as an array of trimmed, non-empty strings; null gives an empty array."""
-    bare = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"^\[(.*)\]\z", "$1")
+    """``[a, b]`` or ``a, b`` as an array of trimmed, non-empty strings, quotes kept; null gives an empty array."""
+    bare = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?s)^\[(.*)\]\z", "$1")
     return F.filter(F.transform(F.split(bare, ","), strip), lambda x: x != "")
 
 
+def unquoted(c: Column) -> Column:
+    """Trimmed, then without one pair of equal quotes around all of it."""
+    return F.regexp_replace(strip(c), r"""(?s)^(["'])(.*)\1\z""", "$2")
+
+
+def list_items(c: Column) -> Column:
+    """``[a, "b"]`` as its unquoted items, ``a, b`` or ``"a, b"`` as its trimmed parts, none of them empty; null gives an empty array."""
+    s = strip(F.coalesce(c, F.lit("")))
+    listed = F.transform(F.split(F.substr(s, F.lit(2), F.char_length(s) - 2), ","), unquoted)
+    parts = F.when((F.char_length(s) >= 2) & s.startswith("["), listed).otherwise(F.transform(F.split(unquoted(s), ","), strip))
+    return F.filter(parts, lambda x: x != "")
+
+
 def encode_value_touched(entries: Column) -> Column:
     """``[{"kind":"k","direction":"d"},...]`` of an array of (kind, direction), nothing escaped; empty gives null."""
     one = F.transform(entries, lambda e: F.concat(F.lit('{"kind":"'), e["kind"], F.lit('","direction":"'), e["direction"], F.lit('"}')))

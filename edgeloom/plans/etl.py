@@ -592,6 +592,17 @@ def f_parse_list_or_scalar(s: Store) -> DataFrame:
     return s.effects.where(t.isNotNull() & ~t.contains("\n")).select("id", F.size(text.list_or_scalar(t)).alias("n"))
 
 
+_TRIM = "trim({x}, chr(32) || chr(9) || chr(10) || chr(13) || chr(12))"
+_UNQUOTE = "CASE WHEN length({x}) > 1 AND {x}[1] = {x}[-1] AND {x}[1] IN ('\"', chr(39)) THEN substring({x}, 2, length({x}) - 2) ELSE {x} END"
+
+
+@view(f"""SELECT id, list_filter(CASE WHEN length(t) > 1 AND t[1] = '[' THEN list_transform(list_transform(string_split(substring(t, 2, length(t) - 2), ','), lambda x: {_TRIM.format(x='x')}), lambda y: {_UNQUOTE.format(x='y')})
+ ELSE list_transform(string_split({_UNQUOTE.format(x='t')}, ','), lambda x: {_TRIM.format(x='x')}) END, lambda z: z <> '') AS items FROM tr""", tr=f"SELECT id, {_TRIM.format(x='temporal_class')} AS t FROM fx WHERE temporal_class IS NOT NULL")
+def f_parse_list_items(s: Store) -> DataFrame:
+    """The items of every list or scalar, those with line breaks too; ``f_parse_list_or_scalar`` counts those without."""
+    return s.effects.where("temporal_class is not null").select("id", text.list_items(F.col("temporal_class")).alias("items"))
+
+
 @view("")
 def f_parse_value_touched(s: Store) -> DataFrame:
     entries = text.parse_value_touched(F.col("value_touched"))

@@ -1,7 +1,10 @@
 """Queries do the whole job: every line, step, row and definition."""
 
+import pytest
+from edgeloom.functions import text
 from edgeloom.plans import api, etl, registry
 from edgeloom.sources import sidecar
+from pyspark.sql import functions as F
 
 
 def test_every_line_is_stripped(spark):
@@ -21,3 +24,16 @@ def test_neighborhood_has_the_default_depth(spark):
     assert api.DEPTH == 2 and {"api_neighborhood_default", "api_neighborhood_edges_default"} <= set(registry.QUERIES)
     assert {r.n: r.depth for r in api.indexed_neighbors(s, api.DEPTH).collect()} == {"h": 0, "a": 1, "b": 1, "c": 2, "d": 2}
     assert sorted((r.caller_name, r.callee_name) for r in api.edges_between(s, api.DEPTH).collect()) == [("b", "d"), ("c", "a"), ("h", "a"), ("h", "b")]
+
+
+@pytest.mark.parametrize(
+    "value, items",
+    [
+        ("[a,\n b]", ["a", "b"]), ('[""]', []), ("[\"a\", 'b', \"c]", ["a", "b", '"c']), ('"a, b"', ["a", "b"]), ("a,, b\nc", ["a", "b\nc"]), ("[", ["["]), ("[]", []), ("", []), (None, []), ('a, "b"', ["a", '"b"']),
+        ('[" a "]', [" a "]),
+    ],
+)
+def test_list_items(spark, value, items):
+    assert spark.createDataFrame([(value,)], "t string").select(text.list_items(F.col("t"))).first()[0] == items
+    if value is not None and value != '[" a "]':
+        assert sidecar.listed(value) == ",".join(items)
