@@ -66,6 +66,22 @@ def parse_index(raw: Column) -> Column:
     return let(_parts(F.coalesce(raw, F.lit("")), _brace(INDEX_TAGS)), lambda p: _sections(p, INDEX_TAGS, nones))
 
 
+def index_warnings(raw: Column) -> Column:
+    """What the ``index`` dialect warns of: unknown tags in order, then sections that come again."""
+    def duplicates(known: Column) -> Column:
+        return F.filter(known, lambda x, i: F.array_position(known, x) <= i)
+
+    def of(tags: Column) -> Column:
+        unknown = F.filter(tags, lambda x: ~x.isin(*INDEX_TAGS))
+        again = let(F.filter(tags, lambda x: x.isin(*INDEX_TAGS)), duplicates)
+        return F.concat(
+            F.transform(unknown, lambda x: F.concat(F.lit("Unknown tag: {"), x, F.lit("}"))),
+            F.transform(again, lambda x: F.concat(F.lit("Duplicate section: {"), x, F.lit(f"}} {_DASH} using first occurrence"))),
+        )
+
+    return let(F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(r"\{([^{}\n]+)\}"), F.lit(1)), of)
+
+
 def parse_lsp(raw: Column) -> Column:
     """Struct of the sections of the ``lsp`` dialect: summary and the six tags."""
     raw = F.coalesce(raw, F.lit(""))

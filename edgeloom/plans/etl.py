@@ -636,6 +636,13 @@ def f_parse_cmt(s: Store) -> DataFrame:
     return p.where("p.post.state <> 'none' and p.violators.state <> 'none'").select("doc_id", F.col("p.post.text").alias("post"), F.col("p.violators.text").alias("violators"))
 
 
+@view("")
+def f_parse_cmt_sections(s: Store) -> DataFrame:
+    """State and text of the summary and all eight sections of every document, and the warnings."""
+    p = docs(s).select("doc_id", comments.parse_index(F.col("text")).alias("p"), comments.index_warnings(F.col("text")).alias("warnings"))
+    return p.select("doc_id", "p.*", "warnings")
+
+
 @view("")
 def f_violators_json(s: Store) -> DataFrame:
     return docs(s).select("doc_id", comments.violators_json(comments.parse_lsp(F.col("text"))["violators"]["text"]).alias("violators_raw"))

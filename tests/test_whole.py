@@ -1,7 +1,7 @@
 """Queries do the whole job: every line, step, row and definition."""
 
 import pytest
-from edgeloom.functions import text
+from edgeloom.functions import comments, text
 from edgeloom.plans import api, etl, registry
 from edgeloom.sources import sidecar
 from pyspark.sql import functions as F
@@ -37,3 +37,17 @@ def test_list_items(spark, value, items):
     assert spark.createDataFrame([(value,)], "t string").select(text.list_items(F.col("t"))).first()[0] == items
     if value is not None and value != '[" a "]':
         assert sidecar.listed(value) == ",".join(items)
+
+
+def test_all_sections_and_warnings(spark):
+    source = "S {odd}\n{post} (none)\n{pre} p {post} again {quint-module} m {x{inv} i {pre}{a\nb}"
+    sections, warnings = spark.createDataFrame([(source,)], "t string").select(comments.parse_index(F.col("t")), comments.index_warnings(F.col("t"))).first()
+    want = {"summary": ("present", "S {odd}"), "post": ("none", None), "pre": ("present", "p"), "quint_module": ("present", "m {x"), "inv": ("present", "i")}
+    assert {k: tuple(v) for k, v in sections.asDict().items() if v.state != "absent"} == want
+    assert warnings == ["Unknown tag: {odd}", "Duplicate section: {post} — using first occurrence", "Duplicate section: {pre} — using first occurrence"]
+
+
+def test_documents_without_sections_stay(spark, sf_dir):
+    got = registry.QUERIES["f_parse_cmt_sections"](spark, sf_dir)
+    assert got.columns == ["doc_id", "summary", "pre", "post", "violators", "violates", "inv", "tests", "quint", "quint_module", "warnings"]
+    assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").count()
