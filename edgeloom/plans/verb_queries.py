@@ -80,6 +80,9 @@ QUERIES = {
     "mutators_of": _q(lambda s: v.mutators_of(s.graph, s.functions, s.effects, VALUE_KIND)),
     "effects_of": _q(lambda s: v.effects_of(s.graph, s.effects, hub(s))),
     "pure_fns": _q(lambda s: v.pure_fns(s.graph, s.functions, s.effects)),
+    "mutators_of_main": _q(lambda s: v.mutators_of_main(s.flat_calls, s.functions, s.modules, s.effects, VALUE_KIND)),
+    "effects_of_main": _q(lambda s: v.effects_of_main(s.graph, s.effects, hub(s))),
+    "pure_fns_main": _q(lambda s: v.pure_fns_main(s.graph, s.functions, s.modules, s.effects)),
     "dead_code": _q(lambda s: v.dead_code(_checked(s), s.functions, v.roots_exported(s.functions), contract=True)),
     "dead_code_roots": _q(dead_named),
     "capabilities_of": _q(lambda s: v.capabilities_of(s.effects, COMPONENT)),
@@ -91,9 +94,9 @@ QUERIES = {
 }
 
 
-def _closure(seed: str, kinds: str | None, backward: bool = False, key: str = "name") -> str:
+def _closure(seed: str, kinds: str | None, backward: bool = False, key: str = "name", nulls: bool = False) -> str:
     a, b = (f"callee_{key}", f"caller_{key}") if backward else (f"caller_{key}", f"callee_{key}")
-    where = f" AND c.kind IN ({kinds})" if kinds else ""
+    where = f" AND (c.raw_kind IS NULL OR c.kind IN ({kinds}))" if nulls else f" AND c.kind IN ({kinds})" if kinds else ""
     return f"{seed} UNION SELECT c.{b} FROM fc c JOIN r ON c.{a} = r.n WHERE c.{b} IS NOT NULL{where}"
 
 
@@ -160,6 +163,20 @@ SQL = {
         "SELECT f.name, f.file_path FROM fn f WHERE f.name IS NOT NULL AND NOT contains(f.name, '*TOP*') AND NOT EXISTS (SELECT 1 FROM r WHERE r.n = f.name)",
         r__n_end=_closure("(SELECT function_name FROM fx WHERE is_direct = 1 AND function_name IS NOT NULL UNION SELECT caller_name FROM fc WHERE kind = 'MAY_TOP')", BOTH, backward=True),
     ),
+    "mutators_of_main": sql(
+        f"""SELECT DISTINCT r.n AS function_name, coalesce(e.file_path, m.path) AS file_path,
+ CASE WHEN r.n IN (SELECT function_name FROM fx WHERE value_kind = '{VALUE_KIND}') THEN 'direct' ELSE 'transitive' END AS how, coalesce(e.soundness, 'candidate') AS soundness
+ FROM r LEFT JOIN fx e ON e.function_name = r.n AND e.value_kind = '{VALUE_KIND}' LEFT JOIN fn f ON f.name = r.n LEFT JOIN modules m ON m.id = f.module_id""",
+        r__n_end=_closure(f"SELECT function_name FROM fx WHERE value_kind = '{VALUE_KIND}' AND function_name IS NOT NULL", BOTH, backward=True, nulls=True),
+    ),
+    "effects_of_main": sql(
+        "SELECT DISTINCT value_kind, function_name AS mutating_fn, file_path, target, soundness FROM fx WHERE is_direct = 1 AND function_name IN (SELECT n FROM r)",
+        r__n_end=_closure(f"SELECT {HUB}", BOTH, nulls=True),
+    ),
+    "pure_fns_main": sql(
+        "SELECT f.name, m.path AS file_path FROM fn f LEFT JOIN modules m ON m.id = f.module_id WHERE f.name IS NOT NULL AND NOT contains(f.name, '*TOP*') AND NOT EXISTS (SELECT 1 FROM r WHERE r.n = f.name)",
+        r__n_end=_closure("(SELECT function_name FROM fx WHERE is_direct = 1 AND function_name IS NOT NULL UNION SELECT caller_name FROM fc WHERE kind = 'MAY_TOP' AND raw_kind IS NOT NULL)", BOTH, backward=True, nulls=True),
+    ),
     "dead_code": sql(_DEAD.format(l="sound"), r__n_end=_closure("SELECT name FROM fn WHERE exported = 1 AND name IS NOT NULL", None)),
     "dead_code_roots": sql(_DEAD.format(l="candidate"), r__n_end=_closure(f"SELECT name FROM fn WHERE name = {HUB}", None)),
     "capabilities_of": sql(

@@ -2,7 +2,7 @@
 
 ``calls`` is name-keyed (caller_name, caller_file, callee_name, callee_file, call_site, kind, raw_kind) and, for the id
 variants, id-keyed (caller_id, callee_id). Names are compared exactly. A null kind is never resolved: it is excluded from
-closures over resolved kinds and counts as an escape.
+closures over resolved kinds and counts as an escape; only the ``_main`` verbs over effects walk it.
 """
 
 from __future__ import annotations
@@ -197,11 +197,30 @@ def escapes_main(functions: DataFrame, calls: DataFrame, name: str) -> DataFrame
     return out.select(F.col("caller_name").alias("escaping_fn"), "call_site", F.coalesce("kind", F.lit("NULL")).alias("kind")).distinct()
 
 
+def traversed_main(calls: DataFrame) -> DataFrame:
+    """Calls the id-keyed index walks for effects: the resolved ones and those without a kind (foreign kinds stay unresolved)."""
+    return calls.where(F.col("raw_kind").isNull() | F.col("kind").isin(*RESOLVED))
+
+
+def _module_paths(functions: DataFrame, modules: DataFrame) -> DataFrame:
+    m = modules.select(F.col("id").alias("module_id"), F.col("path").alias("file_path"))
+    return functions.select("name", "module_id").join(m, "module_id", "left").select("name", "file_path")
+
+
 def mutators_of(calls: DataFrame, functions: DataFrame, effects: DataFrame, value_kind: str) -> DataFrame:
     """(function_name, file_path, how, soundness) of all that mutate the kind, themselves or through resolved calls."""
+    return _mutators(by_name(calls, RESOLVED, backward=True), functions, effects, value_kind)
+
+
+def mutators_of_main(calls: DataFrame, functions: DataFrame, modules: DataFrame, effects: DataFrame, value_kind: str) -> DataFrame:
+    """As ``mutators_of``, also through calls without a kind; files are those of the modules."""
+    return _mutators(by_name(traversed_main(calls), None, backward=True), _module_paths(functions, modules), effects, value_kind)
+
+
+def _mutators(edges: DataFrame, functions: DataFrame, effects: DataFrame, value_kind: str) -> DataFrame:
     mine = effects.where(F.col("value_kind") == value_kind)
     direct = mine.select(F.col("function_name").alias("n")).distinct()
-    reached = closure(by_name(calls, RESOLVED, backward=True), one_root(direct, "n")).select("n")
+    reached = closure(edges, one_root(direct, "n")).select("n")
     fx = mine.select(F.col("function_name").alias("n"), F.col("file_path").alias("fx_file"), "soundness").distinct()
     fn = functions.select(F.col("name").alias("n"), F.col("file_path").alias("fn_file")).distinct()
     out = reached.join(direct.withColumn("direct", F.lit(True)), "n", "left").join(fx, "n", "left").join(fn, "n", "left")
@@ -213,7 +232,16 @@ def mutators_of(calls: DataFrame, functions: DataFrame, effects: DataFrame, valu
 
 def effects_of(calls: DataFrame, effects: DataFrame, name: str) -> DataFrame:
     """Direct effects of everything the name reaches over resolved calls."""
-    reached = closure(by_name(calls, RESOLVED), _root(calls, name)).select(F.col("n").alias("function_name"))
+    return _effects(by_name(calls, RESOLVED), effects, name)
+
+
+def effects_of_main(calls: DataFrame, effects: DataFrame, name: str) -> DataFrame:
+    """As ``effects_of``, also over calls without a kind."""
+    return _effects(by_name(traversed_main(calls), None), effects, name)
+
+
+def _effects(edges: DataFrame, effects: DataFrame, name: str) -> DataFrame:
+    reached = closure(edges, _root(edges, name)).select(F.col("n").alias("function_name"))
     fx = effects.where("is_direct = 1").join(reached, "function_name", "left_semi")
     return fx.select("value_kind", F.col("function_name").alias("mutating_fn"), "file_path", "target", "soundness").distinct()
 
@@ -225,10 +253,18 @@ def _not_named(functions: DataFrame, names: DataFrame) -> DataFrame:
 
 def pure_fns(calls: DataFrame, functions: DataFrame, effects: DataFrame) -> DataFrame:
     """Functions that neither have direct effects nor reach, over resolved calls, one that has or that calls the unknown."""
-    bad = effects.where("is_direct = 1").select(F.col("function_name").alias("n")).unionByName(
-        calls.where("kind = 'MAY_TOP'").select(F.col("caller_name").alias("n"))
-    )
-    impure = closure(by_name(calls, RESOLVED, backward=True), one_root(bad, "n"))
+    return _pure(by_name(calls, RESOLVED, backward=True), calls.where("kind = 'MAY_TOP'"), functions, effects)
+
+
+def pure_fns_main(calls: DataFrame, functions: DataFrame, modules: DataFrame, effects: DataFrame) -> DataFrame:
+    """As ``pure_fns``; a call without a kind is walked and is no call of the unknown; files are those of the modules."""
+    unknown = calls.where("kind = 'MAY_TOP' and raw_kind is not null")
+    return _pure(by_name(traversed_main(calls), None, backward=True), unknown, _module_paths(functions, modules), effects)
+
+
+def _pure(edges: DataFrame, unknown: DataFrame, functions: DataFrame, effects: DataFrame) -> DataFrame:
+    bad = effects.where("is_direct = 1").select(F.col("function_name").alias("n")).unionByName(unknown.select(F.col("caller_name").alias("n")))
+    impure = closure(edges, one_root(bad, "n"))
     return _not_named(functions, impure).select("name", "file_path")
 
 

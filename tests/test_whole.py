@@ -2,7 +2,7 @@
 
 import pytest
 from edgeloom.functions import comments, text
-from edgeloom.plans import api, etl, registry
+from edgeloom.plans import api, etl, registry, verbs
 from edgeloom.sources import sidecar
 from pyspark.sql import functions as F
 
@@ -51,3 +51,17 @@ def test_documents_without_sections_stay(spark, sf_dir):
     got = registry.QUERIES["f_parse_cmt_sections"](spark, sf_dir)
     assert got.columns == ["doc_id", "summary", "pre", "post", "violators", "violates", "inv", "tests", "quint", "quint_module", "warnings"]
     assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").count()
+
+
+def test_main_verbs_walk_calls_without_a_kind(spark):
+    rows = [("main", "mid", None), ("mid", "leaf", "MUST"), ("odd", "leaf", "must"), ("top", "x", "MAY_TOP"), ("nul", "gone", None), ("calm", "nul", "MUST")]
+    calls = spark.createDataFrame([(a, b, k, k if k in ("MUST", "MAY_TOP") else "MAY_TOP") for a, b, k in rows], "caller_name string, callee_name string, raw_kind string, kind string")
+    fn = spark.createDataFrame([(n, "flat.ml", 1) for n in ("main", "mid", "leaf", "odd", "top", "nul", "calm")], "name string, file_path string, module_id int")
+    modules = spark.createDataFrame([(1, "mod.ml")], "id int, path string")
+    fx = spark.createDataFrame([("leaf", None, "HashTbl", "t", 1, "sound")], "function_name string, file_path string, value_kind string, target string, is_direct int, soundness string")
+    got = {r.function_name: (r.file_path, r.how) for r in verbs.mutators_of_main(calls, fn, modules, fx, "HashTbl").collect()}
+    assert got == {"leaf": ("mod.ml", "direct"), "mid": ("mod.ml", "transitive"), "main": ("mod.ml", "transitive")}
+    assert {r.function_name for r in verbs.mutators_of(calls, fn, fx, "HashTbl").collect()} == {"leaf", "mid"}
+    assert [r.mutating_fn for r in verbs.effects_of_main(calls, fx, "main").collect()] == ["leaf"] and verbs.effects_of(calls, fx, "main").count() == 0
+    assert sorted(tuple(r) for r in verbs.pure_fns_main(calls, fn, modules, fx).collect()) == [("calm", "mod.ml"), ("nul", "mod.ml")]
+    assert {"mutators_of_main", "effects_of_main", "pure_fns_main"} <= set(registry.QUERIES)
