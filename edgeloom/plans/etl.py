@@ -148,11 +148,32 @@ def src_file_lines(s: Store) -> DataFrame:
     return docs(s).select("doc_id", F.array_join(text.line_range(F.col("text"), F.lit(2), F.lit(4)), "\n").alias("part"))
 
 
+#: A function's definition on a line; what is indented under ``let`` is an expression.
+_DEFINITION = (
+    r"^(?:(?:let (?:rec )?|and (?=.*=)|val |external )|[ \t]*(?:(?:export|default|pub|async|static) +)*(?:fn|func|function|def) +(?:\([^)]*\) *)?)([A-Za-z_][A-Za-z_0-9']*)"
+)
+
+
+def definitions(texts: DataFrame, pattern: str) -> DataFrame:
+    """The texts' rows, one per line that defines a function, with line_no from 1, the name (fn), the line and the text's lines (ls)."""
+    ls = texts.withColumn("ls", text.lines(F.col("text"))).drop("text")
+    each = ls.select("*", F.posexplode("ls").alias("at", "line")).withColumn("fn", F.regexp_extract("line", pattern, 1))
+    return each.where("fn <> ''").withColumn("line_no", F.col("at") + 1).drop("at")
+
+
+def doc_comments(texts: DataFrame) -> DataFrame:
+    """(doc_id, line_no, fn, comment) of (doc_id, module_path, text): every definition and the comment above it, null if there is none."""
+    from edgeloom.functions.scan import REACH, find_doc_comment
+
+    d = definitions(texts.select("doc_id", "module_path", "text"), _DEFINITION).withColumn("first", F.greatest(F.col("line_no") - REACH, F.lit(1)))
+    n = F.col("line_no") - F.col("first") + 1
+    near = F.array_join(F.slice("ls", F.col("first"), n), "\n")  # no more of the text is looked at
+    return d.select("doc_id", "line_no", "fn", find_doc_comment(near, n, F.col("module_path")).alias("comment"))
+
+
 @view("")
 def src_doc_comment(s: Store) -> DataFrame:
-    from edgeloom.functions.scan import find_doc_comment
-
-    return docs(s).select("doc_id", find_doc_comment(F.col("text"), F.size(F.split("text", "\n")), F.col("module_path")).alias("comment"))
+    return doc_comments(docs(s))
 
 
 def producer(name: str, edge: bool) -> None:
@@ -513,10 +534,18 @@ def etl_body_compare(s: Store) -> DataFrame:
     return compare.body_verdicts(s.raw("documents").select("module_path", F.col("text").alias("body")), "module_path")
 
 
+def bodies(texts: DataFrame) -> DataFrame:
+    """(id, line_no, fn, body) of (doc_id, text): every ``let`` at a line's start, also of a name that comes again."""
+    d = definitions(texts.select("doc_id", "text"), r"^let (?:rec )?([A-Za-z_0-9']+)")
+    named = F.col("line").rlike(r"^let (?:rec )?[A-Za-z_0-9']+(?:[ (=:]|\z)")  # else the name would be looked for in later lines
+    rest = F.when(named, F.array_join(F.slice("ls", F.col("line_no"), F.size("ls")), "\n"))
+    got = compare.extract_bodies(d.select(F.struct("doc_id", "line_no", "fn").alias("id"), rest.alias("source"), "fn"))
+    return got.select(F.col("id.doc_id").alias("id"), "id.line_no", "id.fn", "body")
+
+
 @view("")
 def etl_extract_body(s: Store) -> DataFrame:
-    fn = F.regexp_extract("text", r"(?m)^let (?:rec )?([A-Za-z_0-9']+)", 1)
-    return compare.extract_bodies(docs(s).select(F.col("doc_id").alias("id"), F.col("text").alias("source"), fn.alias("fn")).where("fn <> ''"))
+    return bodies(docs(s))
 
 
 def diff_lines(s: Store) -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries do the whole job: every line, step, row and definition."""
 
 import pytest
-from edgeloom.functions import comments, text
+from edgeloom.functions import comments, scan, text
 from edgeloom.plans import api, etl, registry, verbs
 from edgeloom.sources import sidecar
 from pyspark.sql import functions as F
@@ -65,3 +65,14 @@ def test_main_verbs_walk_calls_without_a_kind(spark):
     assert [r.mutating_fn for r in verbs.effects_of_main(calls, fx, "main").collect()] == ["leaf"] and verbs.effects_of(calls, fx, "main").count() == 0
     assert sorted(tuple(r) for r in verbs.pure_fns_main(calls, fn, modules, fx).collect()) == [("calm", "mod.ml"), ("nul", "mod.ml")]
     assert {"mutators_of_main", "effects_of_main", "pure_fns_main"} <= set(registry.QUERIES)
+
+
+def test_every_definition_has_its_comment_and_body(spark):
+    ml = "(** One. *)\nlet a x =\n  x\n\n(* Two. *)\nlet rec b = 2\nlet a = 3\n" + "\n" * 30 + "let c' = 4\n(** End. *)\nlast"
+    go = "/// Puts.\nfunc (s *T) Put(x int) {\n}\n/// Gets.\nexport async function get(k) {"
+    t = spark.createDataFrame([(1, "m.ml", ml), (2, "m.go", go), (3, "m.ml", "no code")], "doc_id long, module_path string, text string")
+    got = {(r.doc_id, r.line_no, r.fn): r.comment for r in etl.doc_comments(t).collect()}
+    assert got == {(1, 2, "a"): "One.", (1, 6, "b"): "Two.", (1, 7, "a"): None, (1, 38, "c'"): None, (2, 2, "Put"): "Puts.", (2, 5, "get"): "Gets."}
+    assert all(c == scan.doc_comment(ml if d == 1 else go, n, "m.ml" if d == 1 else "m.go") for (d, n, _), c in got.items())
+    b = sorted(tuple(r) for r in etl.bodies(t).collect())
+    assert b == [(1, 2, "a", "let a x =\nx\n(* Two. *)"), (1, 6, "b", "let rec b = 2"), (1, 7, "a", "let a = 3"), (1, 38, "c'", "let c' = 4")]
