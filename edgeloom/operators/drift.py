@@ -178,6 +178,9 @@ def _spans(changes: pd.DataFrame) -> pd.DataFrame:
 def unified_records(lines: DataFrame) -> DataFrame:
     """One row per record and field: the field under its first name, its tag, typed branches and the canonical text.
 
+    ``record`` is a hash of the whole record: records of a file that differ stay apart, with or without an id, repeated
+    ones count once, and one without any field is a row without a field.
+
     Flags (``true``/``1``/``yes`` and their opposites) written as string, integer or boolean share the branch ``as_flag``.
     """
     records = cut(parse_records(lines))
@@ -185,9 +188,10 @@ def unified_records(lines: DataFrame) -> DataFrame:
     spans = broadcast_if_small(changes.groupBy("stream_id").applyInPandas(
         _spans, "stream_id string, k string, since bigint, until bigint, first string"
     ))
-    flat = records.select("stream_id", "record_type", "file_seq", "rid", F.explode("fields").alias("f")).select(
-        "stream_id", "record_type", "file_seq", "rid", F.col("f.k").alias("k"), F.col("f.t").alias("tag"), F.col("f.v").alias("v")
-    ).distinct()
+    whole = records.select("stream_id", "record_type", "file_seq", "rid", F.array_sort("fields").alias("fields")).distinct()
+    flat = whole.withColumn("record", F.md5(F.to_json("fields"))).select(
+        "stream_id", "record_type", "file_seq", "rid", "record", F.explode_outer("fields").alias("f")
+    ).select("stream_id", "record_type", "file_seq", "rid", "record", F.col("f.k").alias("k"), F.col("f.t").alias("tag"), F.col("f.v").alias("v"))
     s, r = spans.alias("s"), flat.alias("r")
     on = (
         (F.col("r.stream_id") == F.col("s.stream_id")) & (F.col("r.k") == F.col("s.k")) & (F.col("r.file_seq") >= F.col("s.since"))
@@ -196,7 +200,7 @@ def unified_records(lines: DataFrame) -> DataFrame:
     tag, v = F.col("tag"), F.col("v")
     flag = F.when(F.lower(v).isin("true", "1", "yes", "t", "y"), 1).when(F.lower(v).isin("false", "0", "no", "f", "n"), 0)
     return r.join(s, on, "left").select(
-        "r.stream_id", "r.record_type", "r.file_seq", "r.rid", F.coalesce("s.first", "r.k").alias("field"), F.col("r.k").alias("written_as"), "tag",
+        "r.stream_id", "r.record_type", "r.file_seq", "r.rid", "r.record", F.coalesce("s.first", "r.k").alias("field"), F.col("r.k").alias("written_as"), "tag",
         F.when(tag == "string", v).alias("as_string"), F.when(tag == "integer", v.try_cast("bigint")).alias("as_integer"),
         F.when(tag == "boolean", v == "true").alias("as_boolean"), F.when(tag.isin("object", "array"), v).alias("as_json"),
         F.when(tag.isin("string", "integer", "boolean"), flag).alias("as_flag"), v.alias("canonical"),

@@ -2,6 +2,7 @@
 
 import pytest
 from edgeloom.functions import comments, scan, text
+from edgeloom.operators import drift
 from edgeloom.plans import api, etl, registry, verbs
 from edgeloom.sources import sidecar
 from pyspark.sql import functions as F
@@ -76,3 +77,14 @@ def test_every_definition_has_its_comment_and_body(spark):
     assert all(c == scan.doc_comment(ml if d == 1 else go, n, "m.ml" if d == 1 else "m.go") for (d, n, _), c in got.items())
     b = sorted(tuple(r) for r in etl.bodies(t).collect())
     assert b == [(1, 2, "a", "let a x =\nx\n(* Two. *)"), (1, 6, "b", "let rec b = 2"), (1, 7, "a", "let a = 3"), (1, 38, "c'", "let c' = 4")]
+
+
+def test_records_without_an_id_stay_apart(spark):
+    payloads = ['{"a":1,"b":2}', '{"b":2,"a":1}', '{"a":1,"b":3}', "{}", '{"id":1,"a":1}', '{"id":1,"a":1,"c":null}']
+    lines = spark.createDataFrame([("s", "call", 1, i, p) for i, p in enumerate(payloads)], "stream_id string, record_type string, file_seq bigint, line_no int, payload string")
+    got = drift.unified_records(lines).collect()
+    records = {}
+    for r in got:
+        records.setdefault(r.record, []).append((r.field, r.canonical))
+    want = [[("a", "1"), ("b", "2")], [("a", "1"), ("b", "3")], [(None, None)], [("a", "1"), ("id", "1")], [("a", "1"), ("c", None), ("id", "1")]]
+    assert sorted(map(str, (sorted(x) for x in records.values()))) == sorted(map(str, want))
