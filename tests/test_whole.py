@@ -88,3 +88,22 @@ def test_records_without_an_id_stay_apart(spark):
         records.setdefault(r.record, []).append((r.field, r.canonical))
     want = [[("a", "1"), ("b", "2")], [("a", "1"), ("b", "3")], [(None, None)], [("a", "1"), ("id", "1")], [("a", "1"), ("c", None), ("id", "1")]]
     assert sorted(map(str, (sorted(x) for x in records.values()))) == sorted(map(str, want))
+
+
+def test_hops_of_paths_longer_than_six(spark):
+    from types import SimpleNamespace
+
+    edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)] + [("n01", "n03"), ("n05", "n02")]
+    graph = spark.createDataFrame([(a, b, "s", "MUST") for a, b in edges], "caller_name string, callee_name string, call_site string, kind string")
+    functions = spark.createDataFrame([(f"n{i:02}",) for i in range(13)], "name string")
+
+    def hops(a, b):
+        seen, level, n = {a}, {a}, 0
+        while level and b not in level:
+            level = {y for x, y in edges if x in level} - seen
+            seen, n = seen | level, n + 1
+        return n if level else None
+
+    got = {(r.a, r.b): (r.verdict, r.hops) for r in api.api_reaches(SimpleNamespace(spark=spark, graph=graph, functions=functions)).collect()}
+    assert got == {(a, b): ("PATH_EXISTS" if hops(a, b) is not None else "NO_MUST_PATH", hops(a, b)) for a, b in got}
+    assert max(n or 0 for _, n in got.values()) > 6
