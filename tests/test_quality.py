@@ -39,13 +39,14 @@ def brute_orphans(data, ids, names, exempt):
     return sorted(out, key=repr)
 
 
-def check_orphans(spark, data, ids, names, exempt, slot=131072):
+def check_orphans(spark, data, ids, names, exempt, slot=131072, **sizes):
     got = orphans.find_orphans(
         refs_of(spark, data),
         spark.createDataFrame(ids, "kid long, start timestamp_ntz, stop timestamp_ntz"),
         spark.createDataFrame(names, "kname string, start timestamp_ntz, stop timestamp_ntz"),
         spark.createDataFrame([(e,) for e in exempt], "kname string"),
         rows_per_slot=slot,
+        **sizes,
     )
     assert rows(got, "src_table", "period", "row_id", "ref_field") == brute_orphans(data, ids, names, exempt)
 
@@ -63,6 +64,27 @@ def test_orphans_random_with_hot_key(spark):
     check_orphans(spark, data + data[:50], ids, names, ["ext", None], slot=32)
 
 
+def test_orphans_many_exempt_names_give_the_same_rows(spark):
+    data = [(1, None, "ext", T, None), (2, None, "ext", T, T), (3, None, "n", T, None), (4, None, "n", None, T), (5, 1, "both", T, None), (6, 1, "both", T, T)]
+    for rows_ in (200_000, 0):
+        check_orphans(spark, data, [(1, T, None)], [("n", T, None), ("both", T + DAY, None)], ["ext", "both", None], broadcast_rows=rows_)
+
+
+def test_orphans_hot_parent_is_cut_along_time(spark):
+    """One name and one id with many intervals, overlapping, disjoint, open and repeated ones."""
+    import random
+
+    r = random.Random(11)
+    many = [(T + r.randrange(3000) * DAY, r.choice([1, 1, 2, 3, 40])) for _ in range(400)]
+    lives = [(s, s + n * DAY) for s, n in many] + [(T + 2990 * DAY, None)]
+    ids = [(1, s, e) for s, e in lives] + [(2, T, None), (3, None, None)]
+    names = [("hot", s, e) for s, e in lives + lives[:20]] + [("cold", T, T + 5 * DAY)]
+    data = [(i, r.choice([1, 1, 2, 3, None]), r.choice(["hot", "hot", "cold", "ext", None]), T, r.choice([None] + [T + r.randrange(-3, 3200) * DAY] * 20)) for i in range(500)]
+    for rows_ in (200_000, 0):
+        check_orphans(spark, data, ids, names, ["ext"], slot=64, broadcast_rows=rows_, intervals_per_slice=16)
+    check_orphans(spark, data, ids, names, ["ext", "hot"], slot=64, broadcast_rows=0, intervals_per_slice=16)
+
+
 def test_orphans_bounds_and_empty(spark):
     data = [(1, 5, "a", T, T), (2, 5, "a", T, T + DAY), (3, 5, None, T, T - DAY), (4, None, "", None, T)]
     check_orphans(spark, data, [(5, T, T + DAY)], [("a", T, T + DAY)], [])
