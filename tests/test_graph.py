@@ -8,6 +8,7 @@ from edgeloom.errors import RefusedError
 from edgeloom.operators import graph
 from edgeloom.plans import verbs as v
 from edgeloom.schemas import DDL
+from pyspark.sql import functions as F
 
 FLAT = DDL["calls_flat"]
 META = {"callgraph_contract": "v1"}
@@ -73,20 +74,38 @@ def search(edges, root):
     return seen
 
 
+def least_path(edges, a, b):
+    """The shortest path whose nodes, from the end back, are the least predecessors one level up."""
+    depth = search(edges, a)
+    if b not in depth:
+        return None
+    path = [b]
+    while depth[path[0]]:
+        path.insert(0, min(x for x, y in edges if y == path[0] and depth.get(x) == depth[path[0]] - 1))
+    return path
+
+
+@pytest.mark.parametrize("work", (graph.LOCAL_WORK, 0))
 @pytest.mark.parametrize("seed", range(2))
-def test_closure_and_paths_match_search(spark, seed, monkeypatch):
-    monkeypatch.setattr(graph, "COMPACT", 3)
+def test_closure_and_paths_match_search(spark, seed, work, monkeypatch):
+    """In one task and over buckets, with hubs spread and jobs of three hops."""
+    for name, value in (("LOCAL_WORK", work), ("HOPS", 3), ("HUB_EDGES", 3), ("THIN", 10)):
+        monkeypatch.setattr(graph, name, value)
     r = random.Random(seed)
-    edges = [(r.randrange(25), r.randrange(25)) for _ in range(32)] + [(i, i + 1) for i in range(30, 38)]
+    edges = [(r.randrange(25), r.randrange(25)) for _ in range(32)] + [(i, i + 1) for i in range(30, 38)] + [(7, i) for i in range(40, 52)]
     df = graph.edge_set(spark.createDataFrame([(*e, "k") for e in edges + edges[:5]] + [(None, 1, "k"), (1, None, "k")], "x int, y int, kind string"), "x", "y")
-    roots = [0, 1, 2, 30]
-    got = {(x.root, x.n): x.depth for x in graph.closure(df, spark.createDataFrame([(x, x) for x in roots], "root int, n int")).collect()}
+    roots = [0, 1, 2, 30, 99]
+    seeds = spark.createDataFrame([(x, x) for x in roots] + [(1, 1), (5, None)], "root int, n int")
+    got = {(x.root, x.n): x.depth for x in graph.closure(df, seeds).collect()}
     assert got == {(x, n): d for x in roots for n, d in search(edges, x).items()}
-    pairs = [(x, y) for x in roots for y in (0, 7, 13, 38)]
+    for depth in (0, 1, 4):
+        assert {(x.root, x.n): x.depth for x in graph.closure(df, seeds, depth).collect()} == {k: d for k, d in got.items() if d <= depth}
+    pairs = [(x, y) for x in roots for y in (0, 7, 13, 38, 45, 99, 1000)] + [(1, None)]
     paths = {(p.src, p.dst): p.path for p in graph.shortest_paths(df, spark.createDataFrame(pairs, "src int, dst int")).collect()}
-    want = {(x, y): search(edges, x)[y] for x, y in pairs if y in search(edges, x)}
-    assert {k: len(p) - 1 for k, p in paths.items()} == want
-    assert all(p[0] == a and p[-1] == b and all(e in edges for e in zip(p, p[1:])) for (a, b), p in paths.items())
+    assert paths == {(x, y): least_path(edges, x, y) for x, y in pairs if least_path(edges, x, y)}
+    none = spark.createDataFrame([], "src int, dst int")
+    assert graph.closure(df.limit(0), seeds).count() == len(roots) and graph.closure(df, seeds.limit(0)).count() == 0
+    assert graph.shortest_paths(df, none).count() == 0
 
 
 def test_cycles_and_empty_graphs(spark):
@@ -108,8 +127,11 @@ def test_effects_verbs(spark):
 def test_neighborhood_caps_nearest_first(spark):
     e = graph.edge_set(spark.createDataFrame([("a", "b"), ("c", "a"), ("c", "d"), ("d", "e")], "x string, y string"), "x", "y")
     start = spark.createDataFrame([("a",)], "n string")
-    assert [tuple(r) for r in graph.neighborhood(e, start, 2, 100).collect()] == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
-    assert [r.n for r in graph.neighborhood(e, start, 9, 3).collect()] == ["a", "b", "c"]
+    assert names(graph.neighborhood(e, start, 2, 100)) == ["a", "b", "c", "d"]
+    assert sorted(tuple(r) for r in graph.neighborhood(e, start, 2, 100).collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    assert names(graph.neighborhood(e, start, 9, 3)) == ["a", "b", "c"] and names(graph.neighborhood(e, start, 9, 2)) == ["a", "b"]
+    assert names(graph.neighborhood(e, start, 9, 1)) == ["a"] and names(graph.neighborhood(e, start.limit(0), 2, 9)) == []
+    assert names(graph.neighborhood(e, start, 5, 100)) == ["a", "b", "c", "d", "e"]
 
 
 def test_actor_paths_over_a_grid(spark, monkeypatch):
@@ -120,3 +142,27 @@ def test_actor_paths_over_a_grid(spark, monkeypatch):
     for cell in (4096, 3):
         monkeypatch.setattr(v, "CELL", cell)
         assert sorted((r.action_a, r.actor_a, r.action_b, r.actor_b) for r in v.actor_paths(fx, "HashTbl").collect()) == want
+
+
+@pytest.mark.parametrize("hub", (graph.HUB_EDGES, 20))
+def test_a_hop_moves_only_the_frontier(spark, hub, monkeypatch):
+    """Neither the edges nor the visited nodes are shuffled again by a hop, even where nothing can be broadcast."""
+    monkeypatch.setattr(graph, "HUB_EDGES", hub)
+    edges = graph.edge_set(spark.range(5000).selectExpr("id % 100 as x", "id as y"), "x", "y")
+    front = spark.range(3000).selectExpr("id % 3 as root", "id as src")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        layout = graph._Layout(edges)
+        visited = graph.Bucketed(front.select("root", F.col("src").alias("n")), ("root", "n"), 3000)
+        step = layout.step(front)
+        new = step.select("root", "n").distinct().join(visited.frame(), ["root", "n"], "left_anti")
+        one, both = (df._jdf.queryExecution().executedPlan().toString() for df in (step, new))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    hubs = one.count("BroadcastExchange")
+    assert layout.any_hub == (hub == 20) == (hubs == 1)
+    assert one.count("Exchange") - hubs == 1 and one.count("Bucketed: true") == 1  # the frontier
+    assert both.count("Exchange") - hubs == 2 and both.count("Bucketed: true") == 2  # the frontier and its neighbours
+    layout.table.drop()
+    visited.drop()
