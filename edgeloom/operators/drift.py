@@ -1,92 +1,115 @@
 """Schemas that drift between files (problem 4).
 
-Method: tagged-union inference. Every line is parsed to a record whose fields keep the type they were written with. Per
-file the schemas of all its lines are fused by pre-aggregation into one tagged union: each field with the set of its
-alternatives. Consecutive files of a stream are compared on these unions, which are small; only for pairs of files in
-which fields went and others came are records joined by id, and a field that went is the one that came if the fingerprints
-of their (id, type, value) sets over the common records agree. ``unified_records`` then splits every conflict into typed
-branches beside one canonical text form, and carries a renamed field on under its first name.
+Method: tagged-union inference. Every line is parsed to a variant value by the engine, and its fields keep the type they
+were written with. Per file the schemas of all its lines are fused by pre-aggregation into one tagged union: each field with
+the set of its alternatives. Consecutive files of a stream are compared on these unions, which are small; only for pairs of
+files in which fields went and others came are records joined by id, and a field that went is the one that came if the
+fingerprints of their (id, type, value) sets over the common records agree. ``unified_records`` then splits every conflict
+into typed branches beside one canonical text form, carries a renamed field on under its first name, and follows objects
+and arrays down to their single values: a nested field is ``outer.inner``, the elements of an array are ``outer[]``.
 
 Defined cases: blank, broken, repeated and non-object lines count neither as fields nor as records, but their file still
 exists (a file of only such lines has no fields); a key given twice in one object has its last value; a null stands for a
 missing key in comparisons; a record without id is in no comparison; one id with several records in one file is compared
-as the set of its values; numbers with a fraction have the type ``number``; a stream with one file has no change.
+as the set of its values; numbers with a fraction or an exponent, and integers of more than 38 digits, have the type
+``number``, and trailing zeros of a fraction are dropped; a stream with one file has no change; a key that holds a dot
+is not told from a nested one in the paths of ``fused_schema`` and ``unified_records`` (``schema_changes`` has no paths).
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import broadcast_if_small, cut
 
 TYPES = ("string", "integer", "boolean", "object", "array", "number")
-_BY_CLASS = {str: "string", int: "integer", bool: "boolean", dict: "object", list: "array", float: "number"}
-_FIELDS = "array<struct<k:string,t:string,v:string>>"
+#: Stands behind a line inside one array, so that a line with anything after its object is no longer one value.
+_END = "\u241e"
+_TWICE = "spark.sql.variant.allowDuplicateKeys"
 
 
-def _no_constant(x: str) -> None:
-    raise ValueError(x)
+@contextmanager
+def _last_value_wins(spark: SparkSession) -> Iterator[None]:
+    """Keys given twice are read, for the plans made inside; the session's own setting comes back after it."""
+    was = spark.conf.get(_TWICE, None)
+    spark.conf.set(_TWICE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TWICE, was) if was is not None else spark.conf.unset(_TWICE)
 
 
-_ONE_VALUE = json.JSONDecoder(parse_constant=_no_constant).decode
+def _whole(text: str) -> Column:
+    """The variant of a text that is one JSON value, else null."""
+    both = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f',"{_END}"]')))
+    return F.when(F.try_variant_get(both, "$[1]", "string") == _END, F.try_variant_get(both, "$[0]", "variant"))
 
 
-def fields_of(payload: str | None) -> tuple[str | None, list[dict]] | None:
-    """(id, fields) of a line that is one whole JSON object, else None; null values keep their key with a null type."""
-    if not payload or "{" not in payload:
-        return None
-    try:
-        record = _ONE_VALUE(payload)
-    except (ValueError, RecursionError):
-        return None
-    if not isinstance(record, dict):
-        return None
-    out = []
-    for k, v in record.items():
-        t = None if v is None else _BY_CLASS[type(v)]
-        text = None if v is None else v if t == "string" else json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        out.append({"k": k, "t": t, "v": text})
-    rid = record.get("id")
-    return None if rid is None else json.dumps(rid, sort_keys=True), out
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("k", pa.string()), ("t", pa.string()), ("v", pa.string())]))
-    for b in batches:
-        got = [fields_of(p) for p in b.column("payload").to_pylist()]
-        good = [g is not None for g in got]
-        kept = b.filter(pa.array(good, pa.bool_()))
-        got = [g for g in got if g is not None]
-        yield pa.RecordBatch.from_arrays(
-            [kept.column(c) for c in ("stream_id", "record_type", "file_seq", "line_no")]
-            + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], kind)],
-            names=["stream_id", "record_type", "file_seq", "line_no", "rid", "fields"],
-        )
+def _tag(value: Column) -> Column:
+    """The type a value was written with; null has none. A plain integer of up to 18 digits is never a decimal here."""
+    schema = F.schema_of_variant(value)
+    long_integer = schema.rlike(r"^DECIMAL\((19|[23]\d),0\)")
+    named = (("STRING", "string"), ("BIGINT", "integer"), ("BOOLEAN", "boolean"), ("OBJECT", "object"), ("ARRAY", "array"))
+    tag = F.when(schema == "VOID", None)
+    for prefix, t in named:
+        tag = tag.when(schema.startswith(prefix), t)
+    return tag.when(long_integer, "integer").otherwise("number")
+
+
+def _fields(record: Column) -> Column:
+    """Key, type and text of every field of an object; null values keep their key."""
+    return F.transform(F.map_entries(record), lambda e: F.struct(e["key"].alias("k"), _tag(e["value"]).alias("t"), e["value"].cast("string").alias("v")))
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
-    """(stream_id, record_type, file_seq, line_no, rid, fields) of the lines that are whole JSON objects, each once."""
-    once = lines.select("stream_id", "record_type", "file_seq", "line_no", "payload")
-    return once.mapInArrow(
-        _parse, f"stream_id string, record_type string, file_seq bigint, line_no int, rid string, fields {_FIELDS}"
-    )
+    """(stream_id, record_type, file_seq, line_no, rid, fields) of the lines that are whole JSON objects, written once.
+
+    Nothing leaves the engine: lines are parsed, typed and taken apart by its own expressions.
+    """
+    keys = ("stream_id", "record_type", "file_seq", "line_no")
+    with _last_value_wins(lines.sparkSession):
+        whole = lines.where(F.col("payload").contains("{")).select(*keys, F.try_variant_get(_whole("payload"), "$", "map<string,variant>").alias("r"))
+        rid = F.try_element_at("r", F.lit("id"))
+        records = whole.where(F.col("r").isNotNull()).select(*keys, F.when(~F.is_variant_null(rid), F.to_json(rid)).alias("rid"), _fields(F.col("r")).alias("fields"))
+        return cut(records)
+
+
+def _inside(values: DataFrame) -> DataFrame:
+    """The values directly inside the objects and arrays of ``values`` (path, tag, v and any others), one row each."""
+    others = [c for c in values.columns if c not in ("path", "tag", "v")]
+    outer = values.where(F.col("tag").isin("object", "array")).withColumn("x", F.try_parse_json("v"))
+    members = F.transform(F.map_entries(F.try_variant_get("x", "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("k"), e["value"].alias("x")))
+    elements = F.transform(F.try_variant_get("x", "$", "array<variant>"), lambda e: F.struct(F.lit("[]").alias("k"), e.alias("x")))
+    each = outer.select(*others, "path", F.explode(F.when(F.col("tag") == "object", members).otherwise(elements)).alias("e"))
+    return each.select(*others, F.concat("path", "e.k").alias("path"), _tag(F.col("e.x")).alias("tag"), F.col("e.x").cast("string").alias("v"))
+
+
+def with_nested(values: DataFrame) -> DataFrame:
+    """``values`` (path, tag, v and any others) and all that stands inside them, one job per level of nesting that occurs."""
+    out = level = values
+    while True:
+        with _last_value_wins(values.sparkSession):
+            level = cut(_inside(level))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+
+
+def _unions(values: DataFrame, field: Column, tag: Column) -> DataFrame:
+    bit = F.lit(0)
+    for i, t in enumerate(TYPES):
+        bit = F.when(tag == t, 1 << i).otherwise(bit)
+    return values.groupBy("stream_id", "file_seq", field.alias("field")).agg(F.bit_or(bit).alias("types"))
 
 
 def fuse(records: DataFrame) -> DataFrame:
     """(stream_id, file_seq, field, types): each file's fields with the bits of their alternatives, 0 for nulls only."""
-    bit = F.lit(0)
-    for i, t in enumerate(TYPES):
-        bit = F.when(F.col("f.t") == t, 1 << i).otherwise(bit)
-    return (
-        records.select("stream_id", "file_seq", F.explode("fields").alias("f"))
-        .groupBy("stream_id", "file_seq", F.col("f.k").alias("field")).agg(F.bit_or(bit).alias("types"))
-    )
+    return _unions(records.select("stream_id", "file_seq", F.explode("fields").alias("f")), F.col("f.k"), F.col("f.t"))
 
 
 def file_pairs(lines: DataFrame) -> DataFrame:
@@ -98,7 +121,7 @@ def file_pairs(lines: DataFrame) -> DataFrame:
 
 def schema_changes(lines: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """(stream_id, file_seq, change, field): added, removed, renamed (``old>new``) or type_changed."""
-    records = cut(parse_records(lines)) if records is None else records
+    records = parse_records(lines) if records is None else records
     unions = cut(fuse(records))
     pairs = cut(file_pairs(lines))
     new = pairs.join(unions, ["stream_id", "file_seq"]).select("stream_id", "file_seq", "before", "field", F.col("types").alias("now"))
@@ -179,20 +202,21 @@ def unified_records(lines: DataFrame) -> DataFrame:
     """One row per record and field: the field under its first name, its tag, typed branches and the canonical text.
 
     ``record`` is a hash of the whole record: records of a file that differ stay apart, with or without an id, repeated
-    ones count once, and one without any field is a row without a field.
+    ones count once, and one without any field is a row without a field. An object or array is a row by itself, followed by
+    a row for each value inside it.
 
     Flags (``true``/``1``/``yes`` and their opposites) written as string, integer or boolean share the branch ``as_flag``.
     """
-    records = cut(parse_records(lines))
+    records = parse_records(lines)
     changes = schema_changes(lines, records)
     spans = broadcast_if_small(changes.groupBy("stream_id").applyInPandas(
         _spans, "stream_id string, k string, since bigint, until bigint, first string"
     ))
     whole = records.select("stream_id", "record_type", "file_seq", "rid", F.array_sort("fields").alias("fields")).distinct()
-    flat = whole.withColumn("record", F.md5(F.to_json("fields"))).select(
-        "stream_id", "record_type", "file_seq", "rid", "record", F.explode_outer("fields").alias("f")
-    ).select("stream_id", "record_type", "file_seq", "rid", "record", F.col("f.k").alias("k"), F.col("f.t").alias("tag"), F.col("f.v").alias("v"))
-    s, r = spans.alias("s"), flat.alias("r")
+    keys = ("stream_id", "record_type", "file_seq", "rid", "record")
+    flat = whole.withColumn("record", F.md5(F.to_json("fields"))).select(*keys, F.explode_outer("fields").alias("f"))
+    flat = flat.select(*keys, F.col("f.k").alias("k"), F.lit("").alias("path"), F.col("f.t").alias("tag"), F.col("f.v").alias("v"))
+    s, r = spans.alias("s"), with_nested(flat).alias("r")
     on = (
         (F.col("r.stream_id") == F.col("s.stream_id")) & (F.col("r.k") == F.col("s.k")) & (F.col("r.file_seq") >= F.col("s.since"))
         & (F.col("s.until").isNull() | (F.col("r.file_seq") < F.col("s.until")))
@@ -200,16 +224,23 @@ def unified_records(lines: DataFrame) -> DataFrame:
     tag, v = F.col("tag"), F.col("v")
     flag = F.when(F.lower(v).isin("true", "1", "yes", "t", "y"), 1).when(F.lower(v).isin("false", "0", "no", "f", "n"), 0)
     return r.join(s, on, "left").select(
-        "r.stream_id", "r.record_type", "r.file_seq", "r.rid", "r.record", F.coalesce("s.first", "r.k").alias("field"), F.col("r.k").alias("written_as"), "tag",
-        F.when(tag == "string", v).alias("as_string"), F.when(tag == "integer", v.try_cast("bigint")).alias("as_integer"),
+        "r.stream_id", "r.record_type", "r.file_seq", "r.rid", "r.record",
+        F.concat(F.coalesce("s.first", "r.k"), "r.path").alias("field"), F.concat("r.k", "r.path").alias("written_as"), "tag",
+        F.when(tag == "string", v).alias("as_string"), F.when(tag == "integer", v.try_cast("decimal(38,0)")).alias("as_integer"),
+        F.when(tag == "number", v.try_cast("double")).alias("as_number"),
         F.when(tag == "boolean", v == "true").alias("as_boolean"), F.when(tag.isin("object", "array"), v).alias("as_json"),
         F.when(tag.isin("string", "integer", "boolean"), flag).alias("as_flag"), v.alias("canonical"),
     )
 
 
 def fused_schema(lines: DataFrame) -> DataFrame:
-    """(stream_id, field, type, first_file, files): every alternative of every field and the file in which it appeared."""
-    unions = fuse(parse_records(lines))
+    """(stream_id, field, type, first_file, files): every alternative of every field, nested ones too, and the file in which it appeared.
+
+    A value of type ``null`` is listed only for a field that is never anything else in a file.
+    """
+    records = parse_records(lines).select("stream_id", "file_seq", F.explode("fields").alias("f"))
+    flat = records.select("stream_id", "file_seq", F.col("f.k").alias("path"), F.col("f.t").alias("tag"), F.col("f.v").alias("v"))
+    unions = _unions(with_nested(flat), F.col("path"), F.col("tag"))
     alts = F.array_compact(F.array(*(F.when(F.col("types").bitwiseAND(1 << i) != 0, t) for i, t in enumerate(TYPES))))
     named = F.when(F.col("types") == 0, F.array(F.lit("null"))).otherwise(alts)
     return unions.select("stream_id", "field", "file_seq", F.explode(named).alias("type")).groupBy("stream_id", "field", "type").agg(

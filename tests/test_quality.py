@@ -294,6 +294,23 @@ def test_records_keep_branches_and_first_names(spark):
     assert ("a", "exported", "string", 3, 1) in rows(drift.fused_schema(lines_df(spark, data)))
 
 
+def test_records_are_followed_into_objects_and_arrays(spark):
+    data = [
+        ("a", 1, '{"id":1,"m":{"x":1,"l":[{"y":null},"s",2.50]},"n":1.0}'), ("a", 2, '{"id":1,"k":{"x":"1","l":[{"y":null},"s",2.50]},"n":12345678901234567890}'),
+        ("a", 2, '{"id":2,"k":{},"n":[]}'), ("a", 2, '{"id":3} {"id":4}'), ("a", 2, '{"id":5}]'), ("a", 2, "[1]"), ("a", 2, '{"id":6,"id":7}'),
+    ]
+    got = rows(drift.unified_records(lines_df(spark, data)).where("file_seq = 1"), "field", "tag", "as_string", "as_integer", "as_number")
+    assert [g for g in got if g[1] not in ("object", "array")] == [
+        ("id", "integer", None, 1, None), ("m.l[]", "number", None, None, 2.5), ("m.l[]", "string", "s", None, None), ("m.l[].y", None, None, None, None), ("m.x", "integer", None, 1, None), ("n", "number", None, None, 1.0),
+    ]
+    assert rows(drift.unified_records(lines_df(spark, data)).where("file_seq = 2 and field = 'n' and tag = 'integer'"), "as_integer") == [(12345678901234567890,)]
+    assert rows(drift.unified_records(lines_df(spark, data)).where("file_seq = 2 and field = 'id'"), "rid") == [("1",), ("2",), ("7",)]
+    schema = rows(drift.fused_schema(lines_df(spark, data)), "field", "type", "first_file")
+    assert {x for x in schema if x[0] in ("m.x", "k.x", "n", "k.l[].y", "k")} == {
+        ("m.x", "integer", 1), ("k.x", "string", 2), ("n", "number", 1), ("n", "integer", 2), ("n", "array", 2), ("k.l[].y", "null", 2), ("k", "object", 2)
+    }
+
+
 # ---- 5: skew -------------------------------------------------------------------------------------------------------
 
 def test_salted_stats(spark):
