@@ -44,12 +44,6 @@ def _last_value_wins(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_TWICE, was) if was is not None else spark.conf.unset(_TWICE)
 
 
-def _whole(text: str) -> Column:
-    """The variant of a text that is one JSON value, else null."""
-    both = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f',"{_END}"]')))
-    return F.when(F.try_variant_get(both, "$[1]", "string") == _END, F.try_variant_get(both, "$[0]", "variant"))
-
-
 def _tag(value: Column) -> Column:
     """The type a value was written with; null has none. A plain integer of up to 18 digits is never a decimal here."""
     schema = F.schema_of_variant(value)
@@ -61,22 +55,33 @@ def _tag(value: Column) -> Column:
     return tag.when(long_integer, "integer").otherwise("number")
 
 
-def _fields(record: Column) -> Column:
-    """Key, type and text of every field of an object; null values keep their key."""
-    return F.transform(F.map_entries(record), lambda e: F.struct(e["key"].alias("k"), _tag(e["value"]).alias("t"), e["value"].cast("string").alias("v")))
+def _parsed(lines: DataFrame, *carried: str) -> DataFrame:
+    """``carried``, rid and r (key to variant value) of the lines that are whole JSON objects.
+
+    The parsed object goes through a generator, past which the optimizer moves nothing: each line is parsed once.
+    """
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col("payload"), F.lit(f',"{_END}"]'))), "$", "array<variant>")
+
+    def whole(a: Column) -> Column:
+        alone = (F.size(a) == 2) & (F.get(a, F.lit(1)).cast("string") == _END)
+        return F.when(alone, F.try_variant_get(F.get(a, F.lit(0)), "$", "map<string,variant>"))
+
+    record = F.filter(F.transform(F.array(both), whole), lambda r: r.isNotNull())
+    rid = F.try_element_at("r", F.lit("id"))
+    return lines.where(F.col("payload").contains("{")).select(*carried, F.explode(record).alias("r")).select(
+        *carried, F.when(~F.is_variant_null(rid), F.to_json(rid)).alias("rid"), "r"
+    )
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
     """(stream_id, record_type, file_seq, line_no, rid, fields) of the lines that are whole JSON objects, written once.
 
-    Nothing leaves the engine: lines are parsed, typed and taken apart by its own expressions.
+    Nothing leaves the engine: lines are parsed, typed and taken apart by its own expressions. Null values keep their key.
     """
     keys = ("stream_id", "record_type", "file_seq", "line_no")
+    fields = F.transform(F.map_entries("r"), lambda e: F.struct(e["key"].alias("k"), _tag(e["value"]).alias("t"), e["value"].cast("string").alias("v")))
     with _last_value_wins(lines.sparkSession):
-        whole = lines.where(F.col("payload").contains("{")).select(*keys, F.try_variant_get(_whole("payload"), "$", "map<string,variant>").alias("r"))
-        rid = F.try_element_at("r", F.lit("id"))
-        records = whole.where(F.col("r").isNotNull()).select(*keys, F.when(~F.is_variant_null(rid), F.to_json(rid)).alias("rid"), _fields(F.col("r")).alias("fields"))
-        return cut(records)
+        return cut(_parsed(lines, *keys).select(*keys, "rid", fields.alias("fields")))
 
 
 def _inside(values: DataFrame) -> DataFrame:
@@ -107,9 +112,11 @@ def _unions(values: DataFrame, field: Column, tag: Column) -> DataFrame:
     return values.groupBy("stream_id", "file_seq", field.alias("field")).agg(F.bit_or(bit).alias("types"))
 
 
-def fuse(records: DataFrame) -> DataFrame:
-    """(stream_id, file_seq, field, types): each file's fields with the bits of their alternatives, 0 for nulls only."""
-    return _unions(records.select("stream_id", "file_seq", F.explode("fields").alias("f")), F.col("f.k"), F.col("f.t"))
+def fuse(lines: DataFrame) -> DataFrame:
+    """(stream_id, file_seq, field, types): each file's fields with the bits of their alternatives, 0 for nulls only; written once."""
+    keys = ("stream_id", "file_seq")
+    with _last_value_wins(lines.sparkSession):
+        return cut(_unions(_parsed(lines, *keys).select(*keys, F.explode("r").alias("k", "x")), F.col("k"), _tag(F.col("x"))))
 
 
 def file_pairs(lines: DataFrame) -> DataFrame:
@@ -119,10 +126,13 @@ def file_pairs(lines: DataFrame) -> DataFrame:
     return files.withColumn("before", F.lag("file_seq").over(w)).where(F.col("before").isNotNull())
 
 
-def schema_changes(lines: DataFrame, records: DataFrame | None = None) -> DataFrame:
-    """(stream_id, file_seq, change, field): added, removed, renamed (``old>new``) or type_changed."""
-    records = parse_records(lines) if records is None else records
-    unions = cut(fuse(records))
+def schema_changes(lines: DataFrame) -> DataFrame:
+    """(stream_id, file_seq, change, field): added, removed, renamed (``old>new``) or type_changed.
+
+    A first pass over the lines takes only the types of the fields, a second one the values of the few files and fields
+    that may have been renamed; no record is written down whole.
+    """
+    unions = fuse(lines)
     pairs = cut(file_pairs(lines))
     new = pairs.join(unions, ["stream_id", "file_seq"]).select("stream_id", "file_seq", "before", "field", F.col("types").alias("now"))
     old = pairs.join(
@@ -134,7 +144,7 @@ def schema_changes(lines: DataFrame, records: DataFrame | None = None) -> DataFr
         .when((F.col("then") != F.col("now")) & (F.col("then") != 0) & (F.col("now") != 0), "type_changed")
     )
     diffs = cut(both.withColumn("change", change).where(F.col("change").isNotNull()).select("stream_id", "file_seq", "before", "change", "field"))
-    renames = cut(_renames(records, diffs))
+    renames = cut(_renames(lines, diffs))
     took_part = renames.select("stream_id", "file_seq", F.explode(F.array(
         F.struct(F.lit("removed").alias("change"), F.col("old").alias("field")),
         F.struct(F.lit("added").alias("change"), F.col("new").alias("field")),
@@ -144,7 +154,7 @@ def schema_changes(lines: DataFrame, records: DataFrame | None = None) -> DataFr
     return rest.select("stream_id", "file_seq", "change", "field").unionByName(named)
 
 
-def _renames(records: DataFrame, diffs: DataFrame) -> DataFrame:
+def _renames(lines: DataFrame, diffs: DataFrame) -> DataFrame:
     """(stream_id, file_seq, old, new) of fields that went and came with the same values in all common records."""
     def fields_that(change: str) -> Column:
         return F.collect_set(F.when(F.col("change") == change, F.col("field")))
@@ -154,17 +164,20 @@ def _renames(records: DataFrame, diffs: DataFrame) -> DataFrame:
         .agg(fields_that("removed").alias("gone"), fields_that("added").alias("came"))
         .where((F.size("gone") > 0) & (F.size("came") > 0))
     )
-    todo = broadcast_if_small(todo)
-    known = records.where(F.col("rid").isNotNull()).select("stream_id", "file_seq", "rid", "fields")
-
-    def values(keys: str) -> Column:
-        kept = F.filter("fields", lambda f: f["t"].isNotNull() & F.array_contains(keys, f["k"]))
-        return F.transform(kept, lambda f: F.struct(f["k"].alias("k"), F.xxhash64(F.col("rid"), f["t"], f["v"]).alias("h")))
-
-    was = known.withColumnRenamed("file_seq", "before").join(todo, ["stream_id", "before"]).select(
-        "stream_id", "file_seq", "rid", values("gone").alias("old")
-    ).distinct()
-    now = known.join(todo, ["stream_id", "file_seq"]).select("stream_id", "file_seq", "rid", values("came").alias("new")).distinct()
+    sides = F.array(
+        F.struct(F.lit("old").alias("side"), F.col("before").alias("at"), F.col("gone").alias("keys")),
+        F.struct(F.lit("new").alias("side"), F.col("file_seq").alias("at"), F.col("came").alias("keys")),
+    )
+    todo = broadcast_if_small(todo.select("stream_id", F.col("file_seq").alias("pair"), F.inline(sides)))
+    near = lines.select("stream_id", F.col("file_seq").alias("at"), "payload").join(todo, ["stream_id", "at"])
+    kept = F.filter(F.map_entries("r"), lambda e: ~F.is_variant_null(e["value"]) & F.array_contains("keys", e["key"]))
+    values = F.transform(kept, lambda e: F.struct(e["key"].alias("k"), F.xxhash64(F.col("rid"), _tag(e["value"]), e["value"].cast("string")).alias("h")))
+    with _last_value_wins(lines.sparkSession):
+        known = cut(_parsed(near, "stream_id", "pair", "side", "keys").where(F.col("rid").isNotNull()).select(
+            "stream_id", F.col("pair").alias("file_seq"), "side", "rid", F.array_sort(values).alias("x")
+        ))
+    was = known.where("side = 'old'").select("stream_id", "file_seq", "rid", F.col("x").alias("old")).distinct()
+    now = known.where("side = 'new'").select("stream_id", "file_seq", "rid", F.col("x").alias("new")).distinct()
     common = was.join(now, ["stream_id", "file_seq", "rid"])
 
     def prints(side: str) -> DataFrame:
@@ -208,7 +221,7 @@ def unified_records(lines: DataFrame) -> DataFrame:
     Flags (``true``/``1``/``yes`` and their opposites) written as string, integer or boolean share the branch ``as_flag``.
     """
     records = parse_records(lines)
-    changes = schema_changes(lines, records)
+    changes = schema_changes(lines)
     spans = broadcast_if_small(changes.groupBy("stream_id").applyInPandas(
         _spans, "stream_id string, k string, since bigint, until bigint, first string"
     ))
