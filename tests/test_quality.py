@@ -217,6 +217,49 @@ def test_split_one(text, style, want):
     assert multivalue.split(text, style, (",", ";", "*", "|", "\n", " " if style == "word" else "  ")) == want
 
 
+@pytest.mark.parametrize("style, alphabet", [("word", "ab1é_-.:,,;;|/ \t\n\"'[]()，"), ("type", "ab1é_.':: ,,;|  \t\n()()[]{}`*，x")])
+def test_batches_read_as_single_texts(style, alphabet):
+    """The kernel over a batch finds the separators and values that the reader of one text finds."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r, g = random.Random(5), multivalue.GRAMMARS[style]
+    rules = [(), (",",), (" ", ";"), ("\n", "\t", "|"), ("  ", ",", "，"), (",", ";", "|", "/", "*", "\n", " " if style == "word" else "  ")]
+    easy = 0
+    for start in (0, 1, 7):
+        texts = ["".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 2, 3, 5, 8, 12, 20]))) for _ in range(3000)]
+        texts += [f"[{t}]" for t in texts[:600]] + ["", "[]", " ", "[ ]", "[[a],b]", "[a] , [b]", "(a) b: c", "a : b, c", "a: b: c", "a:", "é, x", "[;][é*]"]
+        scan = multivalue._Scan(pa.array(["zz"] * start + texts, pa.string()).slice(start), g)
+        seps, pieces, regular = scan.layouts()
+        of = np.array([r.randrange(len(rules)) for _ in texts])
+        got = collections.defaultdict(list)
+        for row, pos, item in zip(*scan.pieces(of, rules)):
+            got[row].append((pos, item.as_py()))
+        for i, t in enumerate(texts):
+            if scan.hard[i]:
+                assert i not in got
+                continue
+            easy += 1
+            assert (seps[i].as_py(), pieces[i], regular[i]) == multivalue.layout(t, style), t
+            assert got[i] == list(enumerate(multivalue.split(t, style, rules[of[i]]))), t
+    assert easy > 2000
+
+
+def test_letters_of_any_script_are_no_separators(spark):
+    data = [(1, "café,thé"), (2, "über, naïve"), (3, "ключ，é")]
+    got = rows(multivalue.split_values([multivalue.Packed("t", spark.createDataFrame(data, "id long, f string"), "id", "f", None, "word")]), "row_id", "pos", "item")
+    assert {x[2] for x in got if x[0] < 3} <= {"café", "thé", "über", "naïve", "café,thé", "über, naïve"} and "caf" not in {x[2] for x in got}
+    plain = [(i, "ab,cd") for i in range(9)] + [(10, "café,thé"), (11, "x·y"), (12, "p+q")]
+    df = spark.createDataFrame(plain, "id long, f string")
+    got = rows(multivalue.split_values([multivalue.Packed("t", df, "id", "f", None, "word")]), "row_id", "item")
+    assert [x[1] for x in got if x[0] == 10] == ["café", "thé"] and [x[1] for x in got if x[0] == 11] == ["x", "y"]
+    kept = multivalue.Grammar("\"'", False, "_-.:+", "A-Za-z0-9")
+    got = rows(multivalue.split_values([multivalue.Packed("t", df, "id", "f", None, kept)]), "row_id", "item")
+    assert [x[1] for x in got if x[0] == 12] == ["p+q"]
+
+
 def test_values_degenerate(spark):
     long = ",".join(f"v{i}" for i in range(20_000))
     data = [(1, None, "p"), (2, "", "p"), (3, "  ", None), (4, "[]", "p"), (5, "a", None), (5, "a", None), (6, long, "p"), (7, "x;y", None), (8, '"open', "p"), (None, "k,l", "p")]
