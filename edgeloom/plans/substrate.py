@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import cut, table
+from edgeloom.operators.resolve import stamp_contract
 from edgeloom.schemas import KINDS
 
 
@@ -58,6 +59,15 @@ class Store:
         """The flat calls, written once: for questions that walk them level by level."""
         return cut(self.flat_calls)
 
+    @cached_property
+    def meta(self) -> DataFrame:
+        """(key, value): the stamp, which an index without functions does not get, who built the facts, and the languages of the files."""
+        stamp = stamp_contract(self.functions)
+        built = self.raw("function_effects").agg(F.array_join(F.sort_array(F.collect_set("producer")), ",").alias("value"))
+        known = self.functions.select(F.regexp_extract("file_path", r"\.([a-z]+)$", 1).alias("x")).where("x <> ''")
+        languages = known.agg(F.array_join(F.sort_array(F.collect_set("x")), ",").alias("value"))
+        return stamp.unionByName(built.select(F.lit("built_by").alias("key"), "value")).unionByName(languages.select(F.lit("languages").alias("key"), "value"))
+
     @cached_property
     def effects(self) -> DataFrame:
         return self.raw("function_effects").drop("created_at").distinct()
@@ -134,6 +144,9 @@ CTES = {
  CASE WHEN kind IN ('MUST', 'MAY_ENUMERATED', 'MAY_TOP') THEN kind ELSE 'MAY_TOP' END AS kind FROM calls""",
     "fc": """SELECT c.id, c.caller_id, c.callee_id, f.name AS caller_name, f.file_path AS caller_file, c.callee_name, g.file_path AS callee_file, c.call_site, c.kind, c.raw_kind
  FROM cl c JOIN fn f ON c.caller_id = f.id LEFT JOIN fn g ON c.callee_id = g.id""",
+    "me": """SELECT 'callgraph_contract' AS key, 'v1' AS value WHERE EXISTS (SELECT 1 FROM fn)
+ UNION ALL SELECT 'built_by', coalesce(string_agg(DISTINCT producer, ',' ORDER BY producer), '') FROM function_effects
+ UNION ALL SELECT 'languages', coalesce(string_agg(DISTINCT x, ',' ORDER BY x), '') FROM (SELECT regexp_extract(file_path, '\\.([a-z]+)$', 1) AS x FROM fn) WHERE x <> ''""",
     "fx": "SELECT DISTINCT * EXCLUDE (created_at) FROM function_effects",
     "ae": "SELECT DISTINCT * EXCLUDE (created_at, loaded_at) FROM attack_edges",
     "ty": "SELECT * EXCLUDE (created_at) FROM code_types",

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import cut
+from edgeloom.functions import text
 from edgeloom.plans import verbs as v
 from edgeloom.plans.substrate import Store, sql
-from edgeloom.schemas import CONTRACT, CONTRACT_KEY, RESOLVED
+from edgeloom.schemas import CONTRACT_KEY, RESOLVED
 
-META = {CONTRACT_KEY: CONTRACT}
 PATTERN, COMPONENT, OTHER, VALUE_KIND, GUARD, TOUCHED = "store_", "store", "core", "HashTbl", "lock", "IoSideEffect"
+#: What values touch, written unlike the data writes it; components that share resources and some that do not.
+RESOURCE = "Balance"
+COMPONENTS = ("basalt", "indigo", "opal", "pewter", "fjord", "amber", "no_such_component")
 
 
 def hub(s: Store) -> str:
@@ -41,10 +44,20 @@ def _q(f):
 
 
 def _checked(s: Store) -> DataFrame:
-    v.require_contract(s.graph, META)
+    v.require_contract(s.graph, s.meta)
     return s.graph
 
 
+def contract_verdicts(s: Store) -> DataFrame:
+    """The verdict on the kinds as they are read, and on the raw ones, where nulls and foreign kinds are refused."""
+    return v.contract_verdict(s.graph, s.meta, "kind").union(v.contract_verdict(s.graph, s.meta, "raw_kind"))
+
+
+def as_loaded(s: Store) -> DataFrame:
+    """Effects with touched values in the form in which capabilities are stored."""
+    return s.effects.withColumn("value_touched", text.encode_value_touched(text.parse_value_touched(F.col("value_touched"))))
+
+
 def dead_named(s: Store) -> DataFrame:
     return v.dead_code(s.graph, s.functions, v.roots_named(s.functions, [hub(s)]), contract=False)
 
@@ -54,10 +67,6 @@ def action(s: Store) -> str:
     return r.from_action if r else ""
 
 
-def contract_meta(s: Store) -> DataFrame:
-    return s.spark.createDataFrame(list(META.items()), "key string, value string").where(F.col("key") == CONTRACT_KEY)
-
-
 QUERIES = {
     "callers_of": _q(lambda s: v.callers_of(s.flat_calls, "Corelib.Result.bind")),
     "callees_of": _q(lambda s: v.callees_of(s.graph, hub(s))),
@@ -67,6 +76,7 @@ QUERIES = {
     "unreachable": _q(lambda s: v.unreachable(_checked(s), pairs(s))),
     "unreachable_main": _q(lambda s: v.unreachable_main(s.functions, s.graph, pairs(s))),
     "require_contract": _q(lambda s: v.contract_report(s.flat_calls)),
+    "require_contract_verdicts": _q(contract_verdicts),
     "escapes": _q(lambda s: v.escapes(_checked(s), hub(s))),
     "escapes_main": _q(lambda s: v.escapes_main(s.functions, s.graph, hub(s))),
     "fan_in": _q(lambda s: v.fan_in(s.flat_calls)),
@@ -75,6 +85,7 @@ QUERIES = {
     "unresolved": _q(lambda s: v.unresolved(s.flat_calls, s.functions)),
     "find": _q(lambda s: v.find(s.functions, PATTERN)),
     "stats": _q(lambda s: v.stats(s.functions, s.calls)),
+    "stats_contract": _q(lambda s: v.contract_line(s.meta)),
     "stats_kinds": _q(lambda s: v.kind_stats(s.calls, "raw_kind")),
     "stats_effects": _q(lambda s: v.effect_stats(s.effects)),
     "mutators_of": _q(lambda s: v.mutators_of(s.graph, s.functions, s.effects, VALUE_KIND)),
@@ -89,8 +100,11 @@ QUERIES = {
     "compose": _q(lambda s: v.compose(s.attack_edges, s.effects, action(s))),
     "removes_guard": _q(lambda s: v.removes_guard(s.attack_edges, s.effects, GUARD)),
     "actor_paths": _q(lambda s: v.actor_paths(s.effects, TOUCHED)),
+    "actor_paths_touched": _q(lambda s: v.actor_paths(as_loaded(s), RESOURCE)),
     "prune": _q(lambda s: v.prune(s.attack_edges, s.effects, COMPONENT, OTHER)),
-    "src_meta": _q(contract_meta),
+    "prune_pairs": _q(lambda s: v.prune_pairs(s.attack_edges, s.effects, [(a, b) for a in COMPONENTS for b in COMPONENTS if a != b])),
+    "prune_rows": _q(lambda s: v.prune_rows(s.attack_edges, s.effects, "a", "s")),
+    "src_meta": _q(lambda s: s.meta),
 }
 
 
@@ -127,7 +141,31 @@ _ESC = "SELECT DISTINCT c.caller_name AS escaping_fn, c.call_site, coalesce(c.ki
 _ONE = "SELECT function_name, x.c AS reachability_class, x.r AS actor_role FROM (SELECT function_name, first(struct_pack(c := reachability_class, r := actor_role) ORDER BY coalesce(reachability_class, '~'), coalesce(actor_role, '~')) AS x FROM fx GROUP BY 1)"
 _M = "(lower(coalesce({x}.file_path, '')) LIKE '%{c}%' OR lower({x}.function_name) LIKE '%{c}%')"
 _ACTION = "(SELECT from_action FROM ae WHERE edge_type IN ('sequence', 'removes_guard') GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
-_TOUCH = "({x}.value_kind = '" + TOUCHED + "' OR lower(coalesce({x}.value_touched, '')) LIKE '%\"kind\":\"" + TOUCHED + "\"%')"
+_TOUCH = "({x}.value_kind = '{t}' OR coalesce({x}.value_touched, '') ILIKE '%\"kind\":\"{t}\"%')"
+_LOADED = """SELECT * REPLACE (replace(replace(replace(value_touched, '": "', '":"'), '", "', '","'), '}, {', '},{') AS value_touched) FROM fx"""
+
+
+def _actor_paths(effects: str, t: str) -> str:
+    return f"""SELECT DISTINCT a.function_name AS action_a, a.actor_role AS actor_a, b.function_name AS action_b, b.actor_role AS actor_b, a.value_touched AS value_touched_a, b.value_touched AS value_touched_b
+ FROM {effects} a JOIN {effects} b ON a.actor_role <> b.actor_role AND a.function_name <> b.function_name WHERE {_TOUCH.format(x='a', t=t)} AND {_TOUCH.format(x='b', t=t)}"""
+
+
+def _shared(a: str, b: str) -> str:
+    return f"""FROM ae e JOIN fx a ON e.from_action = a.function_name JOIN fx b ON e.to_action = b.function_name
+ WHERE e.edge_type = 'shares_resource' AND {_M.format(x='a', c=a)} AND {_M.format(x='b', c=b)}"""
+
+
+def _prune(a: str, b: str) -> str:
+    return f"""SELECT CASE WHEN n = 0 THEN 'PRUNE: no shared resource found between ''{a}'' and ''{b}'' — safe to prune (P13 passes)'
+ ELSE 'DO NOT PRUNE: ' || n || ' shared_resource edge(s) between ''{a}'' and ''{b}'' — P13 signal' END AS verdict, n FROM (SELECT count(*) AS n {_shared(a, b)})"""
+
+
+def _verdict(kind: str) -> str:
+    bad = f"count(*) FILTER (WHERE {kind} IS NULL OR {kind} NOT IN ('MUST', 'MAY_ENUMERATED', 'MAY_TOP'))"
+    return f"""SELECT '{kind}' AS kind_column, count(*) AS edges, count(*) FILTER (WHERE {kind} IS NULL) AS null_kinds, count(*) FILTER (WHERE {kind} NOT IN ('MUST', 'MAY_ENUMERATED', 'MAY_TOP')) AS foreign_kinds,
+ CASE WHEN NOT EXISTS (SELECT 1 FROM me WHERE key = '{CONTRACT_KEY}') THEN 'REFUSED: the index does not carry the call-graph contract' WHEN {bad} > 0 THEN 'REFUSED: ' || {bad} || ' call edges with a null or foreign kind' ELSE 'ok' END AS verdict FROM fc"""
+
+
 _DEAD = "SELECT f.name AS function_name, f.file_path, '{l}' AS verdict_soundness FROM fn f WHERE f.name IS NOT NULL AND NOT contains(f.name, '*TOP*') AND NOT EXISTS (SELECT 1 FROM r WHERE r.n = f.name)"
 
 SQL = {
@@ -139,6 +177,7 @@ SQL = {
     "unreachable": sql(_unreachable(_HIT, "name"), pr=PAIRS, r=_rooted(BOTH)),
     "unreachable_main": sql(_unreachable(_HIT_ID, "id"), pr=PAIRS, r=_rooted(BOTH, "id")),
     "require_contract": sql("SELECT count(*) AS edges, count(*) FILTER (WHERE raw_kind IS NULL) AS null_kinds, count(*) FILTER (WHERE raw_kind NOT IN ('MUST', 'MAY_ENUMERATED', 'MAY_TOP')) AS foreign_kinds FROM fc"),
+    "require_contract_verdicts": sql(_verdict("kind") + " UNION ALL " + _verdict("raw_kind")),
     "escapes": sql(_ESC.format(k="name"), r__n_end=_closure(f"SELECT {HUB}", BOTH)),
     "escapes_main": sql(_ESC.format(k="id"), r__n_end=_closure(f"SELECT id FROM fn WHERE name = {HUB}", BOTH, key="id")),
     "fan_in": sql("SELECT callee_name, count(DISTINCT caller_name) AS callers FROM fc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25"),
@@ -147,6 +186,7 @@ SQL = {
     "unresolved": sql("SELECT DISTINCT callee_name FROM fc WHERE callee_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fn WHERE fn.name = fc.callee_name)"),
     "find": sql(f"SELECT name, file_path, exported FROM fn WHERE name ILIKE '%{PATTERN}%'"),
     "stats": sql("SELECT (SELECT count(*) FROM fn) AS functions, (SELECT count(*) FROM fn WHERE exported = 1) AS exported, (SELECT count(*) FROM cl) AS call_edges"),
+    "stats_contract": sql("SELECT 'contract: ' || coalesce((SELECT min(value) FROM me WHERE key = 'callgraph_contract'), '<none — not ⊤-marked; ''unreachable'' will refuse>') AS line"),
     "stats_kinds": sql("SELECT raw_kind AS kind, count(*) AS edges FROM cl GROUP BY 1"),
     "stats_effects": sql("SELECT count(*) AS effect_rows, count(DISTINCT function_name) AS fns_with_effects, count(DISTINCT value_kind) AS value_kinds_seen FROM fx"),
     "mutators_of": sql(
@@ -191,14 +231,10 @@ SQL = {
         f"""SELECT x.function_name AS gated_action, x.gating, e.from_action AS unlocker, e.evidence FROM fx x LEFT JOIN ae e ON e.to_action = x.function_name AND e.edge_type = 'removes_guard'
  WHERE lower(coalesce(x.gating, '')) LIKE '%{GUARD}%'"""
     ),
-    "actor_paths": sql(
-        f"""SELECT DISTINCT a.function_name AS action_a, a.actor_role AS actor_a, b.function_name AS action_b, b.actor_role AS actor_b, a.value_touched AS value_touched_a, b.value_touched AS value_touched_b
- FROM fx a JOIN fx b ON a.actor_role <> b.actor_role AND a.function_name <> b.function_name WHERE {_TOUCH.format(x='a')} AND {_TOUCH.format(x='b')}"""
-    ),
-    "prune": sql(
-        f"""SELECT CASE WHEN n = 0 THEN 'PRUNE: no shared resource found between ''{COMPONENT}'' and ''{OTHER}'' — safe to prune (P13 passes)'
- ELSE 'DO NOT PRUNE: ' || n || ' shared_resource edge(s) between ''{COMPONENT}'' and ''{OTHER}'' — P13 signal' END AS verdict, n FROM (SELECT count(*) AS n FROM ae e
- JOIN fx a ON e.from_action = a.function_name JOIN fx b ON e.to_action = b.function_name WHERE e.edge_type = 'shares_resource' AND {_M.format(x='a', c=COMPONENT)} AND {_M.format(x='b', c=OTHER)})"""
-    ),
-    "src_meta": f"SELECT '{CONTRACT_KEY}' AS key, '{CONTRACT}' AS value",
+    "actor_paths": sql(_actor_paths("fx", TOUCHED)),
+    "actor_paths_touched": sql(_actor_paths("lo", RESOURCE), lo=_LOADED),
+    "prune": sql(_prune(COMPONENT, OTHER)),
+    "prune_pairs": sql(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, verdict, n FROM ({_prune(a, b)})" for a in COMPONENTS for b in COMPONENTS if a != b)),
+    "prune_rows": sql("SELECT e.from_action, e.to_action, e.evidence " + _shared("a", "s")),
+    "src_meta": sql("SELECT * FROM me"),
 }

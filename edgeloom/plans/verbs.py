@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from edgeloom.cluster import cut
 from edgeloom.errors import RefusedError
 from edgeloom.operators.graph import closure, edge_set, one_root
-from edgeloom.schemas import CONTRACT, KINDS, RESOLVED, TOP
+from edgeloom.schemas import CONTRACT, CONTRACT_KEY, KINDS, RESOLVED, TOP
 
 #: The verdict texts.
 PATH_EXISTS = "PATH EXISTS (must-reach): {a} -> {b}"
@@ -52,15 +52,30 @@ def contract_report(calls: DataFrame, kind: str = "raw_kind") -> DataFrame:
     return calls.agg(F.count(F.lit(1)).alias("edges"), F.count_if(k.isNull()).alias("null_kinds"), F.count_if(~k.isin(*KINDS)).alias("foreign_kinds"))
 
 
-def require_contract(calls: DataFrame, meta: dict[str, str], kind: str = "kind") -> None:
-    """Refuse unless the index is stamped and every edge carries one of the three kinds."""
-    if meta.get("callgraph_contract") != CONTRACT:
-        raise RefusedError("the index does not carry the call-graph contract")
-    if kind not in calls.columns:
-        raise RefusedError("the index has no edge kinds")
-    r = contract_report(calls, kind).first()
-    if r.null_kinds or r.foreign_kinds:
-        raise RefusedError(f"{r.null_kinds} edges without a kind and {r.foreign_kinds} with a foreign one")
+def contract_verdict(calls: DataFrame, meta: DataFrame, kind: str = "kind") -> DataFrame:
+    """(kind_column, edges, null_kinds, foreign_kinds, verdict): ``ok``, or why sound questions are refused.
+
+    An index without the stamp is refused first, then one without kinds, then one with null or foreign kinds.
+    """
+    stamp = meta.where((F.col("key") == CONTRACT_KEY) & (F.col("value") == CONTRACT)).agg((F.count(F.lit(1)) > 0).alias("stamped"))
+    if kind in calls.columns:
+        report, none = contract_report(calls, kind), F.lit(False)
+    else:
+        report, none = calls.agg(F.count(F.lit(1)).alias("edges"), F.lit(None).cast("bigint").alias("null_kinds"), F.lit(None).cast("bigint").alias("foreign_kinds")), F.lit(True)
+    bad = F.col("null_kinds") + F.col("foreign_kinds")
+    verdict = (
+        F.when(~F.col("stamped"), "REFUSED: the index does not carry the call-graph contract").when(none, "REFUSED: the index has no edge kinds")
+        .when(bad > 0, F.concat(F.lit("REFUSED: "), bad, F.lit(" call edges with a null or foreign kind"))).otherwise("ok")
+    )
+    one = report.withColumn("one", F.lit(1)).join(stamp.withColumn("one", F.lit(1)), "one")  # one row each
+    return one.select(F.lit(kind).alias("kind_column"), "edges", "null_kinds", "foreign_kinds", verdict.alias("verdict"))
+
+
+def require_contract(calls: DataFrame, meta: DataFrame, kind: str = "kind") -> None:
+    """Refuse unless the index is stamped and every edge carries one of the three kinds; ``meta`` has (key, value)."""
+    verdict = contract_verdict(calls, meta, kind).first().verdict
+    if verdict != "ok":
+        raise RefusedError(verdict)
 
 
 # ---- one hop ---------------------------------------------------------------------------------------------------------
@@ -104,6 +119,12 @@ def stats(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return both.agg(F.sum("f").alias("functions"), F.sum("e").alias("exported"), F.sum("c").alias("call_edges"))
 
 
+def contract_line(meta: DataFrame) -> DataFrame:
+    """(line): the first line of the statistics, which names the contract of the index or says that it has none."""
+    stamp = meta.where(F.col("key") == CONTRACT_KEY).agg(F.min("value").alias("value"))
+    return stamp.select(F.concat(F.lit("contract: "), F.coalesce("value", F.lit("<none — not ⊤-marked; 'unreachable' will refuse>"))).alias("line"))
+
+
 def kind_stats(calls: DataFrame, kind: str = "kind") -> DataFrame:
     return calls.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("edges"))
 
@@ -327,12 +348,12 @@ CELL = 4096
 
 
 def actor_paths(effects: DataFrame, value_kind: str) -> DataFrame:
-    """Pairs of actions of different roles that touch the kind; both orders are given.
+    """Pairs of actions of different roles that touch the kind; both orders are given. Letter case counts in ``value_kind`` only.
 
     The result is quadratic in the touching actions by definition. It is made as a join on the cells of a grid: each row
     is copied along one row or column of cells, so no cell holds more than CELL rows of a side.
     """
-    touched = F.col("value_kind").eqNullSafe(value_kind) | F.lower(F.coalesce("value_touched", F.lit(""))).like(f'%"kind":"{value_kind}"%')
+    touched = F.col("value_kind").eqNullSafe(value_kind) | F.coalesce("value_touched", F.lit("")).ilike(f'%"kind":"{value_kind}"%')
     side = effects.where(touched & F.col("actor_role").isNotNull()).select("function_name", "actor_role", "value_touched").distinct()
     side = cut(side)
     grid = max(1, -(-side.count() // CELL))
@@ -344,13 +365,34 @@ def actor_paths(effects: DataFrame, value_kind: str) -> DataFrame:
     return out.select("action_a", "actor_a", "action_b", "actor_b", "value_touched_a", "value_touched_b")
 
 
+def _shared(edges: DataFrame, effects: DataFrame, components: Sequence[str]) -> DataFrame:
+    """The shared-resource edges between functions of the components (a to b), with how often their effect rows repeat them."""
+    mine = F.explode(F.array_compact(F.array(*(F.when(matches(c), F.lit(c)) for c in components))))
+
+    def side(name: str, column: str) -> DataFrame:
+        return effects.select(F.col("function_name").alias(column), mine.alias(name)).groupBy(column, name).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+
+    e = edges.where("edge_type = 'shares_resource'").join(side("a", "from_action"), "from_action").join(side("b", "to_action"), "to_action")
+    return e.select("a", "b", "from_action", "to_action", "evidence", (F.col("n_a") * F.col("n_b")).alias("times"))
+
+
+def prune_pairs(edges: DataFrame, effects: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, verdict, n): whether functions of two components share a resource; rows multiply with their effect rows."""
+    n = _shared(edges, effects, list(dict.fromkeys(x for p in pairs for x in p))).groupBy("a", "b").agg(F.sum("times").alias("n"))
+    asked = edges.sparkSession.createDataFrame(list(pairs), "a string, b string").distinct()
+    n = asked.join(n, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    between = F.concat(F.lit("'"), F.col("a"), F.lit("' and '"), F.col("b"), F.lit("'"))
+    none = F.concat(F.lit("PRUNE: no shared resource found between "), between, F.lit(" — safe to prune (P13 passes)"))
+    some = F.concat(F.lit("DO NOT PRUNE: "), F.col("n"), F.lit(" shared_resource edge(s) between "), between, F.lit(" — P13 signal"))
+    return n.select("a", "b", F.when(F.col("n") == 0, none).otherwise(some).alias("verdict"), "n")
+
+
 def prune(edges: DataFrame, effects: DataFrame, a: str, b: str) -> DataFrame:
-    """(verdict, n): whether functions of two components share a resource; rows multiply with their effect rows."""
-    def side(component: str, column: str) -> DataFrame:
-        return effects.where(matches(component)).groupBy(F.col("function_name").alias(column)).agg(F.count(F.lit(1)).alias(f"n_{column}"))
-
-    e = edges.where("edge_type = 'shares_resource'").join(side(a, "from_action"), "from_action").join(side(b, "to_action"), "to_action")
-    n = e.agg(F.coalesce(F.sum(F.col("n_from_action") * F.col("n_to_action")), F.lit(0)).alias("n"))
-    none = F.lit(f"PRUNE: no shared resource found between '{a}' and '{b}' — safe to prune (P13 passes)")
-    some = F.concat(F.lit("DO NOT PRUNE: "), F.col("n"), F.lit(f" shared_resource edge(s) between '{a}' and '{b}' — P13 signal"))
-    return n.select(F.when(F.col("n") == 0, none).otherwise(some).alias("verdict"), "n")
+    """(verdict, n) of one pair."""
+    return prune_pairs(edges, effects, [(a, b)]).select("verdict", "n")
+
+
+def prune_rows(edges: DataFrame, effects: DataFrame, a: str, b: str) -> DataFrame:
+    """(from_action, to_action, evidence): the edges below the verdict, as often as ``prune`` counts them."""
+    rows = _shared(edges, effects, [a, b]).where((F.col("a") == a) & (F.col("b") == b))
+    return rows.select("from_action", "to_action", "evidence", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("i")).drop("i")

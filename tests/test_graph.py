@@ -11,7 +11,6 @@ from edgeloom.schemas import DDL
 from pyspark.sql import functions as F
 
 FLAT = DDL["calls_flat"]
-META = {"callgraph_contract": "v1"}
 
 
 def flat(spark, edges):
@@ -49,10 +48,18 @@ def test_escapes(spark):
 
 def test_contract_is_required(spark):
     ok = flat(spark, SMALL)
-    v.require_contract(ok, META)
-    for calls, meta in ((ok, {}), (ok.drop("kind"), META), (flat(spark, [("m", "s", None)]), META), (flat(spark, [("m", "s", "must")]), META)):
-        with pytest.raises(RefusedError):
-            v.require_contract(calls, meta)
+    stamp, other = ("callgraph_contract", "v1"), ("built_by", "x")
+    meta = spark.createDataFrame([stamp, other], "key string, value string")
+    bare, wrong = spark.createDataFrame([other], "key string, value string"), spark.createDataFrame([("callgraph_contract", "v0")], "key string, value string")
+    v.require_contract(ok, meta)
+    cases = (
+        (ok, bare, "does not carry"), (ok, bare.limit(0), "does not carry"), (ok, wrong, "does not carry"), (ok.drop("kind"), meta, "no edge kinds"),
+        (flat(spark, [("m", "s", None), ("m", "t", "MUST")]), meta, "1 call edges"), (flat(spark, [("m", "s", "must"), ("m", "s", None)]), meta, "2 call edges"),
+    )
+    for calls, m, why in cases:
+        with pytest.raises(RefusedError, match=why):
+            v.require_contract(calls, m)
+    assert v.contract_line(meta).first().line == "contract: v1" and v.contract_line(bare).first().line.startswith("contract: <none")
 
 
 def test_unknown_root_is_refused_by_ids(spark):
@@ -137,7 +144,7 @@ def test_neighborhood_caps_nearest_first(spark):
 def test_actor_paths_over_a_grid(spark, monkeypatch):
     rows = [(f"f{i}", f"r{i % 3}" if i % 4 else None, "HashTbl" if i % 2 else "HeapRef", '[{"kind":"hashtbl"}]' if i % 5 == 0 else None) for i in range(40)]
     fx = spark.createDataFrame(rows, "function_name string, actor_role string, value_kind string, value_touched string")
-    mine = [r for r in rows if r[1] and r[2] == "HashTbl"]
+    mine = [r for r in rows if r[1] and (r[2] == "HashTbl" or r[3])]  # touched values match in any letter case
     want = sorted((a[0], a[1], b[0], b[1]) for a in mine for b in mine if a[0] != b[0] and a[1] != b[1])
     for cell in (4096, 3):
         monkeypatch.setattr(v, "CELL", cell)
@@ -166,3 +173,18 @@ def test_a_hop_moves_only_the_frontier(spark, hub, monkeypatch):
     assert both.count("Exchange") - hubs == 2 and both.count("Bucketed: true") == 2  # the frontier and its neighbours
     layout.table.drop()
     visited.drop()
+
+
+def test_actor_paths_match_touched_values_in_any_case(spark):
+    rows = [("f", "user", None, '[{"kind":"IoSideEffect","direction":"debit"}]'), ("g", "admin", "IoSideEffect", None), ("h", "ops", None, '[{"kind":"iosideeffect"}]'), ("i", "ops", "iosideeffect", None)]
+    fx = spark.createDataFrame(rows, "function_name string, actor_role string, value_kind string, value_touched string")
+    got = {(r.action_a, r.action_b) for r in v.actor_paths(fx, "IoSideEffect").collect()}
+    assert got == {(a, b) for a in "fgh" for b in "fgh" if a != b}
+
+
+def test_prune_rows_below_the_verdict(spark):
+    edges = spark.createDataFrame([("s_a", "c_b", "shares_resource", "e1"), ("s_a", "x", "shares_resource", "e2"), ("s_a", "c_b", "sequence", "e3")], "from_action string, to_action string, edge_type string, evidence string")
+    fx = spark.createDataFrame([("s_a", "x.ml"), ("s_a", "y.ml"), ("c_b", None), ("x", "Core/c.ml"), (None, "core")], "function_name string, file_path string")
+    assert [(r.verdict[:15], r.n) for r in v.prune(edges, fx, "S_", "c").collect()] == [("DO NOT PRUNE: 4", 4)]
+    assert sorted(r.evidence for r in v.prune_rows(edges, fx, "S_", "c").collect()) == ["e1", "e1", "e2", "e2"]
+    assert v.prune(edges, fx, "c_b", "s_a").first().n == 0 and v.prune_rows(edges, fx, "c_b", "s_a").count() == 0
