@@ -27,7 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named if named else tempfile.mkdtemp(prefix="edgeloom-"))
 
 
-def _on_disk(spark: SparkSession, path: str):
+def on_disk(spark: SparkSession, path: str):
     """(file system, path) of a folder, for what the DataFrame API cannot do: removing it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -37,14 +37,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; what is written there goes when the application ends."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    fs, where = _on_disk(spark, path)
+    fs, where = on_disk(spark, path)
     fs.deleteOnExit(where)
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove what was written there, before the application ends."""
-    fs, where = _on_disk(spark, path)
+    fs, where = on_disk(spark, path)
     fs.delete(where, True)
 
 

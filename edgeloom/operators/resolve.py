@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,33 +185,41 @@ def always_blocks(edges: list[tuple[int, int]]) -> list[tuple[int, bool, bool]]:
     """(block, always, reachable) of one control-flow graph with entry 0 and exit -1.
 
     A block always runs if it is reachable and lies on every path from the entry to the exit. Without an exit that can be
-    reached nothing is certain. Block sets are Python integers, so any number of blocks works.
+    reached nothing is certain. One path to the exit holds all such blocks; they are found by sweeping along it: a block is
+    on every path if nothing before it leads past it. Each edge is looked at twice, so time is linear in the graph.
     """
     after: dict[int, list[int]] = {}
     for a, b in edges:
         after.setdefault(a, []).append(b)
     blocks = sorted({x for e in edges for x in e if x != EXIT})
-    reach, todo = {0}, [0]
-    while todo:
-        for b in after.get(todo.pop(), ()):
-            if b not in reach:
-                reach.add(b)
-                todo.append(b)
-    if EXIT not in reach:
-        return [(b, False, b in reach) for b in blocks]
-    bit = {b: 1 << i for i, b in enumerate(sorted(reach - {EXIT}))}
-    full = (1 << len(bit)) - 1
-    must = dict.fromkeys(bit, full) | {EXIT: 0}
-    changed = True
-    while changed:
-        changed = False
-        for b in sorted(bit, reverse=True):
-            common = full
-            for n in after.get(b, ()):
-                common &= must[n]
-            if (common | bit[b]) != must[b]:
-                must[b], changed = common | bit[b], True
-    return [(b, b in bit and bool(must[0] & bit[b]), b in reach) for b in blocks]
+    came: dict[int, int] = {0: 0}
+    todo = [0]
+    for n in todo:  # grows as it is walked
+        for b in after.get(n, ()):
+            if b not in came:
+                came[b] = n
+                if b != EXIT:
+                    todo.append(b)
+    if EXIT not in came:
+        return [(b, False, b in came) for b in blocks]
+    path = [EXIT]
+    while path[-1] != 0:
+        path.append(came[path[-1]])
+    path.reverse()
+    place = {n: i for i, n in enumerate(path)}
+    far, seen, certain = 0, set(), set()
+    for i, n in enumerate(path[:-1]):
+        if far == i:
+            certain.add(n)
+        todo = [n]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b in place:
+                    far = max(far, place[b])
+                elif b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+    return [(b, b in certain, b in came) for b in blocks]
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,20 +227,32 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graphs = b.column("edges")
         at = graphs.offsets.to_pylist()
         ends = list(zip(*(graphs.flatten().field(c).to_pylist() for c in ("src", "dst"))))
-        rows, upto = [], [0]
+        rows, sizes = [], []
         for lo, hi in zip(at, at[1:]):
-            rows += always_blocks(ends[lo - at[0] : hi - at[0]])
-            upto.append(len(rows))
+            own = always_blocks(ends[lo - at[0] : hi - at[0]])
+            rows += own
+            sizes.append(len(own))
         blocks, always, reachable = zip(*rows) if rows else ((), (), ())
-        flat = pa.StructArray.from_arrays([pa.array(blocks, pa.int32()), pa.array(always, pa.bool_()), pa.array(reachable, pa.bool_())], names=["block", "always", "reachable"])
-        yield pa.RecordBatch.from_arrays([b.column("fn"), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat)], names=["fn", "blocks"])
+        fn = b.column("fn").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        yield pa.RecordBatch.from_arrays([fn, pa.array(blocks, pa.int32()), pa.array(always, pa.bool_()), pa.array(reachable, pa.bool_())], names=["fn", "block", "always", "reachable"])
+
+
+def cfg_edges(blocks: DataFrame) -> DataFrame:
+    """(fn, src, dst) of block records (fn, block, last, skips, stops): where control can go from each block.
+
+    A block falls through to the next one, may skip one, and leaves by the exit if it stops or is the last.
+    """
+    ends = F.col("stops") | (F.col("block") == F.col("last"))
+    targets = F.array(
+        F.when(~ends, F.col("block") + 1), F.when(F.col("skips") & ~F.col("stops") & (F.col("block") + 2 <= F.col("last")), F.col("block") + 2), F.when(ends, EXIT)
+    )
+    return blocks.select("fn", F.col("block").cast("int").alias("src"), F.explode(F.array_compact(targets).cast("array<int>")).alias("dst"))
 
 
 def cfg_solve(edges: DataFrame) -> DataFrame:
     """(fn, block, always, reachable); ``edges`` has (fn, src, dst) with the exit as -1. One function's graph is one value."""
     g = edges.groupBy(F.col("fn").cast("bigint").alias("fn")).agg(F.collect_list(F.struct(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))).alias("edges"))
-    solved = g.mapInArrow(_solve, "fn bigint, blocks array<struct<block:int,always:boolean,reachable:boolean>>")
-    return solved.select("fn", F.inline("blocks"))
+    return g.mapInArrow(_solve, "fn bigint, block int, always boolean, reachable boolean")
 
 
 # ---- signatures ------------------------------------------------------------------------------------------------------

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.cluster import on_disk
+from edgeloom.errors import LoadError
 from edgeloom.schemas import DDL, EDGE_IDENTITY, EFFECT_IDENTITY, VALUE_KINDS
 
 
@@ -136,9 +138,28 @@ def write_tables(folder: str, **tables: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def replace_table(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, made anew: readers see the old files until all new ones stand beside them and take their name."""
+    fs, new = on_disk(df.sparkSession, f"{path}.tmp")
+    _, old = on_disk(df.sparkSession, path)
+    fs.delete(new, True)
+    df.write.parquet(f"{path}.tmp")
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise LoadError(f"{path} could not be replaced")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def boxed(df: DataFrame, rows: int = 100) -> str:
-    """The first rows as an ASCII table, for people."""
-    return df._show_string(rows, False)
+    """The first rows as a table in a box, for people: as many as are shown come to the driver. Nulls are empty cells."""
+    cells = [df.columns] + [["" if x is None else str(x).replace("\n", " ") for x in r] for r in df.limit(rows).collect()]
+    wide = [max(map(len, column)) for column in zip(*cells)]
+
+    def rule(left: str, mid: str, right: str) -> str:
+        return left + mid.join("─" * (w + 2) for w in wide) + right
+
+    body = ["│ " + " │ ".join(c.ljust(w) for c, w in zip(row, wide)) + " │" for row in cells]
+    return "\n".join([rule("┌", "┬", "┐"), body[0], rule("├", "┼", "┤"), *body[1:], rule("└", "┴", "┘")])
 
 
 def as_json(df: DataFrame) -> DataFrame:

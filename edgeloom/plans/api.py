@@ -99,6 +99,16 @@ def api_neighborhood_edges_default(s: Store) -> DataFrame:
     return edges_between(s, DEPTH)
 
 
+#: The largest depth of a request.
+DEEPEST = 5
+
+
+@view(_NEAR, **_nb(DEEPEST))
+def api_neighborhood_deepest(s: Store) -> DataFrame:
+    """As ``api_neighborhood`` within the largest depth, which meets the cap on all but small graphs."""
+    return indexed_neighbors(s, DEEPEST).select(F.col("n").alias("name"), "depth")
+
+
 _FILE = "(SELECT file_path FROM fn WHERE file_path IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
 
 
@@ -122,19 +132,35 @@ def reach_paths(s: Store, must_only: bool = True) -> DataFrame:
 def _hops(kind: str) -> dict[str, str]:
     return {
         "pr": PAIRS, "d": f"SELECT DISTINCT caller_name AS a, callee_name AS b FROM fc WHERE {kind}",
-        "r__root, n, depth_end": "SELECT DISTINCT a, a, 0 FROM pr UNION SELECT r.root, d.b, r.depth + 1 FROM r JOIN d ON d.a = r.n WHERE r.depth < 6",
+        # Every (root, n) is kept with the depth at which it was met first, however deep that is.
+        "r__root, n, depth, path_end USING KEY (root, n)": """SELECT DISTINCT a, a, 0, [a] FROM pr UNION SELECT root, b, min(depth) + 1, list_append(arg_min(path, n), b) FROM (SELECT r.root, d.b, r.depth, r.n, r.path FROM r JOIN d ON d.a = r.n
+ WHERE NOT EXISTS (SELECT 1 FROM recurring.r x WHERE x.root = r.root AND x.n = d.b)) GROUP BY root, b""",
     }
 
 
-@view("""SELECT p.a, p.b, CASE WHEN min(r.depth) IS NULL THEN 'NO_MUST_PATH' ELSE 'PATH_EXISTS' END AS verdict, min(r.depth) AS hops FROM pr p LEFT JOIN r ON r.root = p.a AND r.n = p.b GROUP BY 1, 2""", **_hops("true"))
+_REACHED = "SELECT p.a, p.b, CASE WHEN r.depth IS NULL THEN 'NO_MUST_PATH' ELSE 'PATH_EXISTS' END AS verdict, r.depth AS hops FROM pr p LEFT JOIN r ON r.root = p.a AND r.n = p.b"
+
+
+@view(_REACHED, **_hops("true"))
 def api_reaches(s: Store) -> DataFrame:
     """Number of hops of a shortest path over all edges."""
-    return reach_paths(s, must_only=False).select("a", "b", "verdict", (F.size("path") - 1).alias("size")).select(
-        "a", "b", "verdict", F.when(F.col("verdict") == "PATH_EXISTS", F.col("size")).alias("hops")
-    )
+    return _hop_count(reach_paths(s, must_only=False))
+
+
+def _hop_count(paths: DataFrame) -> DataFrame:
+    return paths.select("a", "b", "verdict", F.when(F.col("path").isNotNull(), F.size("path") - 1).alias("hops"))
+
+
+@view(_REACHED, **_hops("kind = 'MUST'"))
+def api_reaches_must(s: Store) -> DataFrame:
+    """As ``api_reaches`` over MUST edges only, which is what a request that says nothing else gets."""
+    return _hop_count(reach_paths(s))
 
 
-QUERIES_PATHS = {"api_reaches_path": lambda spark, d: reach_paths(Store(spark, d), must_only=False)}
+@view("SELECT p.a, p.b, r.path, CASE WHEN r.path IS NULL THEN 'NO_MUST_PATH' ELSE 'PATH_EXISTS' END AS verdict FROM pr p LEFT JOIN r ON r.root = p.a AND r.n = p.b", **_hops("true"))
+def api_reaches_path(s: Store) -> DataFrame:
+    """The shortest paths themselves, over all edges; of several the one by the least predecessors."""
+    return reach_paths(s, must_only=False)
 
 
 # ---- browser client --------------------------------------------------------------------------------------------------
@@ -264,7 +290,7 @@ def module_layout(s: Store) -> DataFrame:
     return module_layers(s).select("file_path", "name", (i * NODE_WIDTH).alias("x"), (F.col("layer") * LAYER_HEIGHT).alias("y"))
 
 
-QUERIES = {k: v for k, v in _VIEW_QUERIES.items() if k not in _BEFORE} | QUERIES_PATHS | {
+QUERIES = {k: v for k, v in _VIEW_QUERIES.items() if k not in _BEFORE} | {
     "ui_layers": lambda spark, d: module_layers(Store(spark, d)), "ui_layout": lambda spark, d: module_layout(Store(spark, d)),
 }
 SQL = {k: v for k, v in _VIEW_SQL.items() if k in QUERIES}

@@ -6,7 +6,7 @@ given here in both dialects.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import shared_path
@@ -55,8 +55,11 @@ def src_ndjson_callgraph_lib(s: Store) -> DataFrame:
 _KINDS_SQL = ", ".join(f"'{k}'" for k, _ in VALUE_KINDS)
 
 
-@view(f"""SELECT function_name, file_path, CASE WHEN value_kind IN ({_KINDS_SQL}) THEN value_kind ELSE 'UnknownMut' END AS value_kind, target, CASE WHEN coalesce(is_direct, 1) = 0 THEN 0 ELSE 1 END AS is_direct,
- CASE WHEN soundness IN ('sound', 'manual') THEN soundness ELSE 'candidate' END AS soundness, coalesce(producer, 'unknown') AS producer FROM fx WHERE function_name IS NOT NULL""")
+_EFFECT_SQL = f"""SELECT function_name, file_path, CASE WHEN value_kind IN ({_KINDS_SQL}) THEN value_kind ELSE 'UnknownMut' END AS value_kind, target, CASE WHEN coalesce(is_direct, 1) = 0 THEN 0 ELSE 1 END AS is_direct,
+ CASE WHEN soundness IN ('sound', 'manual') THEN soundness ELSE 'candidate' END AS soundness, coalesce(producer, 'unknown') AS producer FROM fx WHERE function_name IS NOT NULL"""
+
+
+@view(_EFFECT_SQL)
 def src_ndjson_effects(s: Store) -> DataFrame:
     rec = F.to_json(F.struct(F.lit("effect").alias("type"), "function_name", "file_path", "value_kind", "target", "is_direct", "soundness", "producer"))
     return ndjson.effects(s.effects.select(F.col("id").alias("line_no"), rec.alias("line")))
@@ -176,36 +179,75 @@ def src_doc_comment(s: Store) -> DataFrame:
     return doc_comments(docs(s))
 
 
-def producer(name: str, edge: bool) -> None:
-    """Producers' records are ingested, not produced: a source that is one producer's share of the facts."""
-    sql = f"SELECT function_name, file_path, value_kind, target, is_direct, soundness FROM fx WHERE producer = '{edge}'"
+# The functions that a folder of sorted record files gives for a set of functions and calls: of a name's records the last line counts.
+def _ingested(calls: str) -> str:
+    return f"""SELECT name, x.f AS file_path, x.e AS exported FROM g UNION ALL SELECT DISTINCT n, NULL, 0 FROM (SELECT caller_name AS n FROM fc WHERE {calls} UNION SELECT callee_name FROM fc WHERE {calls})
+ WHERE n IS NOT NULL AND n <> '*TOP*' AND n NOT IN (SELECT name FROM g)"""
 
-    def f(s: Store) -> DataFrame:
-        return s.effects.where(F.col("producer") == edge).select("function_name", "file_path", "value_kind", "target", "is_direct", "soundness")
 
-    f.__name__ = name
-    view(sql)(f)
+def _last_lines(where: str) -> str:
+    return f"""SELECT name, last(struct_pack(f := file_path, e := CASE WHEN exported = 1 THEN 1 ELSE 0 END) ORDER BY file_path NULLS FIRST, exported NULLS LAST) AS x
+ FROM fn WHERE name IS NOT NULL AND name <> '*TOP*' AND {where} GROUP BY 1"""
 
 
-for _n, _p in (("src_go_effects", "effects-go"), ("src_ocaml_effects", "effects-ml")):
-    producer(_n, _p)
+def record_files(s: Store, functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """The records as a producer writes them, sorted, in files of the shared folder, and read from there line by line."""
+    folder = shared_path(s.spark, "records")
+    named = calls.where("caller_name <> '' and callee_name <> ''")
+    store.write_ndjson(functions.where("name is not null").select("name", "file_path", "exported"), named, folder)
+    return ndjson.read_lines(s.spark, folder)
 
 
-def _by_extension(name: str, ext: str) -> None:
-    def f(s: Store) -> DataFrame:
-        c = s.flat_calls.where(F.col("caller_file").endswith(ext)).select("caller_name", "callee_name", "call_site", "kind")
-        return c.groupBy("caller_name", "callee_name", "call_site").agg(F.min("kind").alias("kind"))
+def of_files(df: DataFrame, path: str, ext: str) -> DataFrame:
+    return df.where(F.col(path).endswith(ext))
 
-    f.__name__ = name
-    view(f"SELECT caller_name, callee_name, call_site, min(kind) AS kind FROM fc WHERE caller_file LIKE '%{ext}' GROUP BY 1, 2, 3")(f)
 
+_NAMED = "caller_name <> '' AND callee_name <> ''"
 
-_by_extension("src_go_callgraph", ".go")
 
+@view(_ingested(_NAMED), g=_last_lines("true"))
+def src_ndjson_files(s: Store) -> DataFrame:
+    """All functions and calls through record files, with every rule of the loader."""
+    lines = record_files(s, s.functions, s.flat_calls)
+    return ndjson.callgraph(lines)[0]
 
-@view("SELECT name, file_path, exported FROM fn WHERE file_path LIKE '%.ts'")
+
+@view(f"SELECT caller_name, callee_name, call_site, min(kind) AS kind FROM fc WHERE caller_file LIKE '%.go' AND {_NAMED} GROUP BY 1, 2, 3")
+def src_go_callgraph(s: Store) -> DataFrame:
+    """The Go producer's record files: one call per caller, callee and site, under the least of its kinds."""
+    lines = record_files(s, of_files(s.functions, "file_path", ".go"), of_files(s.flat_calls, "caller_file", ".go"))
+    return ndjson.callgraph(lines, allow_empty=True)[1].groupBy("caller_name", "callee_name", "call_site").agg(F.min("kind").alias("kind"))
+
+
+@view(_ingested("false"), g=_last_lines("file_path LIKE '%.ts'"))
 def src_ts_shim(s: Store) -> DataFrame:
-    return s.functions.where(F.col("file_path").endswith(".ts")).select("name", "file_path", "exported")
+    """The TypeScript producer's record files, which hold functions only."""
+    lines = record_files(s, of_files(s.functions, "file_path", ".ts"), s.flat_calls.limit(0))
+    return ndjson.callgraph(lines, allow_empty=True)[0]
+
+
+def _effects_of_producer(name: str, producer: str) -> None:
+    """A producer's effect records in text files, read with the loader's defaults."""
+    @view(f"SELECT function_name, file_path, value_kind, target, is_direct, soundness, producer FROM ({_EFFECT_SQL}) WHERE producer = '{producer}'")
+    @named(name)
+    def f(s: Store) -> DataFrame:
+        folder = shared_path(s.spark, "effects")
+        mine = s.effects.where(F.col("producer") == producer)
+        mine.select(F.to_json(F.struct(F.lit("effect").alias("type"), *_EFFECT_FIELDS)).alias("line")).write.text(folder)
+        return ndjson.effects(ndjson.read_lines(s.spark, folder))
+
+
+def named(name: str):
+    def rename(f):
+        f.__name__ = name
+        return f
+
+    return rename
+
+
+_EFFECT_FIELDS = ("function_name", "file_path", "value_kind", "target", "is_direct", "soundness", "producer")
+for _n, _p in (("src_go_effects", "effects-go"), ("src_ocaml_effects", "effects-ml")):
+    _effects_of_producer(_n, _p)
 
 
 # ---- sinks -----------------------------------------------------------------------------------------------------------
@@ -228,7 +270,11 @@ def snk_main_db(s: Store) -> DataFrame:
 
 @view("SELECT DISTINCT name, file_path, line_start, line_end, exported FROM fn")
 def snk_lsp_db(s: Store) -> DataFrame:
-    return s.functions.select("name", "file_path", "line_start", "line_end", "exported").distinct()
+    """Written beside the table that is there, here an empty one, and put in its place when it is whole."""
+    rows = s.functions.select("name", "file_path", "line_start", "line_end", "exported").distinct()
+    path = shared_path(s.spark, "lsp")
+    store.replace_table(rows.limit(0), path)
+    return store.replace_table(rows, path)
 
 
 _ID_FX = ("function_name", "file_path", "value_kind", "target", "producer", "is_direct")
@@ -245,6 +291,13 @@ def snk_effects(s: Store) -> DataFrame:
     return got.select("function_name", "file_path", "value_kind", "target", "producer", "is_direct", "function_id")
 
 
+@view(f"""SELECT i AS inserted, n - i AS skipped FROM (SELECT (SELECT count(*) FROM fx WHERE soundness <> 'sound') AS n, (SELECT count(*) FROM (SELECT DISTINCT {_FOLD} FROM fx WHERE soundness <> 'sound' EXCEPT SELECT {_FOLD} FROM fx WHERE soundness = 'sound')) AS i)""")
+def snk_effects_counts(s: Store) -> DataFrame:
+    """How many of the candidate and manual effects are inserted beside the sound ones, and how many are skipped."""
+    there, new = s.effects.where("soundness = 'sound'"), s.effects.where("soundness <> 'sound'")
+    return store.insert_counts(new, store.insert_effects(there, new.withColumn("at", F.col("id")), s.functions, "at"))
+
+
 @view("""SELECT e.id, CASE WHEN c.function_name IS NOT NULL THEN c.role ELSE e.actor_role END AS actor_role FROM fx e LEFT JOIN cp c ON c.function_name = e.function_name
  UNION ALL SELECT NULL, c.role FROM cp c WHERE NOT EXISTS (SELECT 1 FROM fx e WHERE e.function_name = c.function_name OR e.function_name = string_split(c.function_name, '.')[-1])""",
     cp="SELECT name AS function_name, 'role' || max(id) AS role FROM fn WHERE name IS NOT NULL AND exposed = 1 GROUP BY 1")
@@ -305,10 +358,36 @@ def snk_enrich_ts(s: Store) -> DataFrame:
 
 @view("SELECT 0 AS part, count(*) AS n, min(name) AS first_key FROM fn UNION ALL SELECT 1, count(*), min(caller_name || '→' || callee_name || coalesce('@' || call_site, '')) FROM fc")
 def snk_ndjson_sorted(s: Store) -> DataFrame:
+    """Counts and least keys of what the sorted files hold; ``snk_ndjson_file`` writes them."""
     return store.ndjson_sorted(s.functions, s.flat_calls).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
 
 
+@view("SELECT count(*) AS lines, 0 AS unsorted FROM (SELECT 1 FROM fn WHERE name IS NOT NULL UNION ALL SELECT 1 FROM fc WHERE " + _NAMED + ")")
+def snk_ndjson_file(s: Store) -> DataFrame:
+    """Lines of the sorted files as they are read back, and how many of them do not stand in order behind the line before."""
+    lines = record_files(s, s.functions, s.flat_calls)
+    call = F.get_json_object("line", "$.caller_name")
+    key = F.when(call.isNull(), F.get_json_object("line", "$.name")).otherwise(
+        F.concat_ws("→", call, F.concat_ws("@", F.get_json_object("line", "$.callee_name"), F.get_json_object("line", "$.call_site")))
+    )
+    at = F.struct(call.isNotNull().cast("int").alias("part"), key.alias("key"), F.col("line"))
+    before = F.lag("at").over(Window.partitionBy("file").orderBy("line_no"))
+    inside = lines.select("file", "line_no", at.alias("at")).withColumn("off", (before > F.col("at")).cast("int"))
+    files = inside.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("off").alias("off"), F.min("at").alias("first"), F.max("at").alias("last"))
+    over = files.withColumn("off", F.coalesce("off", F.lit(0)) + F.coalesce((F.lag("last").over(Window.orderBy("file")) > F.col("first")).cast("int"), F.lit(0)))  # one row per file
+    return over.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.coalesce(F.sum("off"), F.lit(0)).alias("unsorted"))
+
+
 @view("")
+def snk_box_table(s: Store) -> DataFrame:
+    """The three most called names as lines of a box."""
+    from edgeloom.plans import verbs
+
+    lines = store.boxed(verbs.fan_in(s.flat_calls, 3).orderBy(F.desc("callers"), "callee_name")).split("\n")
+    return s.spark.createDataFrame(list(enumerate(lines, 1)), "line_no int, line string")
+
+
+@view("SELECT '{\"id\":' || id || ',\"name\":' || coalesce(to_json(name), 'null') || ',\"exposed\":' || CASE WHEN coalesce(exposed, 0) = 1 THEN 'true' ELSE 'false' END || '}' AS json FROM fn")
 def snk_http_json(s: Store) -> DataFrame:
     return store.as_json(s.functions.select("id", "name", (F.coalesce("exposed", F.lit(0)) == 1).alias("exposed")))
 
@@ -394,14 +473,23 @@ _EDGES = """WITH b AS ({b}), m AS (SELECT fn, max(blk) AS mx FROM b GROUP BY fn)
  UNION ALL SELECT b.fn, blk, -1 FROM b JOIN m ON b.fn = m.fn WHERE blk = mx OR term""".format(b=_BLOCKS)
 
 
+def cfg_blocks(s: Store) -> DataFrame:
+    """Block records with the lines of an order as the blocks of a function."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_discount")
+    of = Window.partitionBy("l_orderkey")
+    return s.raw("lineitem").select(
+        F.col("l_orderkey").alias("fn"), (F.row_number().over(of.orderBy(*order)) - 1).alias("block"), (F.count(F.lit(1)).over(of) - 1).alias("last"),
+        (F.col("l_returnflag") == "R").alias("skips"), ((F.col("l_linestatus") == "F") & (F.col("l_discount") >= 0.08)).alias("stops"),
+    )
+
+
 def cfg_edges(s: Store) -> DataFrame:
-    """Control-flow graphs with the lines of an order as blocks."""
-    return s.spark.sql(_EDGES.replace("FROM lineitem", "FROM {li}"), li=s.raw("lineitem"))
+    return resolve.cfg_edges(cfg_blocks(s))
 
 
 @view("SELECT fn, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst FROM ce", ce=_EDGES)
 def etl_cfg_lower(s: Store) -> DataFrame:
-    return cfg_edges(s).select("fn", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
+    return cfg_edges(s)
 
 
 @view("""SELECT b.fn, CAST(b.blk AS INT) AS block, r.n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM av a WHERE a.fn = b.fn AND a.j = b.blk AND a.n = -1) AND EXISTS (SELECT 1 FROM rc x WHERE x.fn = b.fn AND x.n = -1) AS always,
@@ -591,10 +679,16 @@ def etl_kind_movements(s: Store) -> DataFrame:
 
 # ---- scalar functions ------------------------------------------------------------------------------------------------
 
-@view("SELECT id, name IN ('a', 'b') AS in_list, EXISTS (SELECT 1 FROM fx e WHERE e.function_name = fn.name) AS has_effect FROM fn WHERE name IS NOT NULL")
+_TOP_DIR = "string_split(file_path, '/')[1]"
+
+
+@view(f"SELECT id, {_TOP_DIR} = 'lib' AS equal, {_TOP_DIR} IN ('lib', 'bin') AS in_list, {_TOP_DIR} NOT IN ('lib', 'bin') AS not_in_list, EXISTS (SELECT 1 FROM fx e WHERE e.function_name = fn.name) AS has_effect FROM fn WHERE name IS NOT NULL")
 def f_predicates(s: Store) -> DataFrame:
     e = s.effects.select(F.col("function_name").alias("name")).distinct().withColumn("has_effect", F.lit(True))
-    return s.functions.where("name is not null").join(e, "name", "left").select("id", F.col("name").isin("a", "b").alias("in_list"), F.coalesce("has_effect", F.lit(False)).alias("has_effect"))
+    top = F.substring_index("file_path", "/", 1)
+    return s.functions.where("name is not null").join(e, "name", "left").select(
+        "id", (top == "lib").alias("equal"), top.isin("lib", "bin").alias("in_list"), (~top.isin("lib", "bin")).alias("not_in_list"), F.coalesce("has_effect", F.lit(False)).alias("has_effect")
+    )
 
 
 @view("SELECT id, name ILIKE '%Store%' AS ci, lower(name) AS low, coalesce(intent, '?') AS intent FROM fn WHERE name IS NOT NULL")
@@ -682,9 +776,16 @@ def f_violator_entries(s: Store) -> DataFrame:
     return docs(s).select("doc_id", F.inline(comments.violator_entries(comments.parse_index(F.col("text"))["violators"]["text"])))
 
 
-@view("")
+_WRITTEN = "SELECT doc_id, regexp_replace(text, ' — ([^\n]*)', ': \"\\1\"', 'g') AS text FROM documents WHERE text IS NOT NULL"
+
+
+@view(f"""SELECT doc_id, file, case_name FROM (SELECT doc_id, {_TRIM.format(x="split_part(x, ':', 1)")} AS file, regexp_extract({_TRIM.format(x="substr(x, strpos(x, ':') + 1)")}, '^"(.+)"', 1) AS case_name FROM (
+ SELECT doc_id, unnest(list_transform(string_split({_sec('tests')}, chr(10)), lambda x: {_TRIM.format(x='x')})) AS x FROM ct) WHERE x <> '(none)' AND contains(x, ':')) WHERE file <> '' AND case_name <> ''""",
+    wr=_WRITTEN, ct=_cut(comments.INDEX_TAGS).replace("FROM documents", "FROM wr"))
 def f_test_entries(s: Store) -> DataFrame:
-    return docs(s).select("doc_id", F.inline(comments.test_entries(comments.parse_index(F.col("text"))["tests"]["text"])))
+    """Entries of the tests sections, whose lines ``a — b`` are first written as ``a: "b"``; most lines hold no entry."""
+    t = F.regexp_replace("text", r" — ([^\n]*)", r': "$1"')
+    return docs(s).select("doc_id", F.inline(comments.test_entries(comments.parse_index(t)["tests"]["text"])))
 
 
 @view(f"SELECT id, string_split(path, '/')[-1] AS base, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_replace(path, '\\.[^./]*$', '') AS stem, {cap_of('path')} AS module FROM modules")

@@ -172,5 +172,5 @@ CTES = {
 
 def sql(body: str, **more: str) -> str:
     """``body`` over the tables above; ``more`` names further common table expressions, recursive ones included."""
-    parts = [f"{k} AS ({v})" for k, v in CTES.items()] + [f"{k.replace('__', '(').replace('_end', ')')} AS ({v})" for k, v in more.items()]
+    parts = [f"{k} AS ({v})" for k, v in CTES.items()] + [f"{k.replace('__', '(', 1).replace('_end', ')', 1)} AS ({v})" for k, v in more.items()]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body

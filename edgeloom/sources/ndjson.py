@@ -6,9 +6,10 @@ the same rules serve files, tables and streams.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edgeloom.cluster import cut
 from edgeloom.errors import LoadError
 from edgeloom.functions.text import strip
 from edgeloom.schemas import CONTRACT, CONTRACT_KEY, KINDS, SOUNDNESS, TOP, VALUE_KINDS
@@ -18,9 +19,18 @@ EFFECT_RECORD = "type string, function_name string, file_path string, value_kind
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files; line numbers count within a file and keep the order of its lines."""
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    return t
+    """(file, line_no, line) of text files: line numbers count from 1 within a file, whatever splits it was read in.
+
+    The lines are written down once with the split they came from, which loaders that look at them several times need
+    anyway; what is counted over a file is one row per split.
+    """
+    t = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    t = cut(t)
+    splits = t.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return t.join(splits.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def parse(lines: DataFrame, ddl: str) -> DataFrame:

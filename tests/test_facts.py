@@ -239,3 +239,72 @@ def test_equal_places_and_ranks(spark):
     df = spark.createDataFrame([(f"p{i:04}",) for i in range(500)], "path string").repartition(7)
     assert {r.path: r.id for r in global_rank(df, "path", "id").collect()} == {f"p{i:04}": i + 1 for i in range(500)}
     assert global_rank(df.limit(0), "path", "id").count() == 0
+
+
+def test_lines_are_numbered_within_files_across_splits(spark, tmp_path):
+    """Files cut into many splits, and several files: the numbers are those of the lines."""
+    want = {}
+    for name, n in (("a.ndjson", 300), ("b.ndjson", 7), ("c.ndjson", 0)):
+        rows = [f"{name} {i} {'x' * (i % 40)}" for i in range(1, n + 1)]
+        (tmp_path / name).write_text("".join(f"{r}\n" for r in rows))
+        want |= {r: i for i, r in enumerate(rows, 1)}
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = {r.line: r.line_no for r in ndjson.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == want
+
+
+def test_the_last_record_of_a_name_wins_over_splits(spark, tmp_path):
+    rows = [f'{{"type":"function","name":"f{i % 5}","file_path":"p{i}","exported":{str(i % 2 == 0).lower()}}}' for i in range(200)]
+    rows.append('{"caller_name":"f0","callee_name":"g","kind":"MUST"}')
+    (tmp_path / "r.ndjson").write_text("\n".join(rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        fn = ndjson.callgraph(ndjson.read_lines(spark, str(tmp_path)))[0].collect()
+        (tmp_path / "r.ndjson").write_text("\n".join([*rows, '{"broken"']))
+        with pytest.raises(LoadError, match="line 202:"):
+            ndjson.callgraph(ndjson.read_lines(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.name, r.file_path) for r in fn} == {("f0", "p195"), ("f1", "p196"), ("f2", "p197"), ("f3", "p198"), ("f4", "p199"), ("g", None)}
+
+
+def test_a_table_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one, two = spark.range(3), spark.range(10, 15)
+    assert store.replace_table(one, path).count() == 3
+    got = store.replace_table(two, path)
+    assert sorted(r.id for r in got.collect()) == [10, 11, 12, 13, 14] and not (tmp_path / "t.tmp").exists()
+    assert store.replace_table(got.limit(0), path + "2").count() == 0
+
+
+def test_box(spark):
+    df = spark.createDataFrame([("a\nb", 1), (None, 23)], "name string, n int")
+    assert store.boxed(df).split("\n") == ["┌──────┬────┐", "│ name │ n  │", "├──────┼────┤", "│ a b  │ 1  │", "│      │ 23 │", "└──────┴────┘"]
+    assert store.boxed(df.limit(0)).count("\n") == 3 and store.boxed(df, 1).count("\n") == 4
+
+
+def test_post_dominance_against_removal():
+    """A block always runs if the exit cannot be reached without it."""
+    import random
+
+    r = random.Random(4)
+    for _ in range(400):
+        n = r.randrange(1, 9)
+        edges = [(r.randrange(n), r.choice([-1, *range(n)])) for _ in range(r.randrange(1, 3 * n))]
+
+        def reached(without=None):
+            seen, todo = {0} - {without}, [0] if without != 0 else []
+            while todo:
+                x = todo.pop()
+                for a, b in edges:
+                    if a == x and b not in seen and b != without:
+                        seen.add(b)
+                        todo.append(b)
+            return seen
+
+        want = [(b, b in reached() and -1 in reached() and -1 not in reached(b), b in reached()) for b in sorted({x for e in edges for x in e} - {-1})]
+        assert resolve.always_blocks(edges) == want
