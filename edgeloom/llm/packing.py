@@ -19,10 +19,11 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import cut
+from edgeloom.cluster import broadcast_if_small, cut
 
 #: Items per rank group; only the number of salts depends on it.
 ITEMS_PER_GROUP = 100_000
@@ -95,8 +96,9 @@ def best_fit_plan(counts: Mapping[int, int], capacity: int) -> tuple[list[tuple[
     return steps, containers
 
 
-def _assigner(plans: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]):
+def _assigner(shared: Broadcast[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = shared.value
         for b in batches:
             size_id = b.column("size_id").to_numpy()
             size, rank = b.column("tokens").to_numpy(), b.column("rank").to_numpy()
@@ -122,7 +124,6 @@ def pack(items: DataFrame, capacities: Mapping[int, int], id_col: str, size_col:
     if any(c < 1 for c in capacities.values()):
         raise ValueError("capacities must be at least 1")
     sizes = cut(items.select(F.col(id_col).cast("bigint").alias("item"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("n")))
-    salts = max(1, -(-sizes.count() // ITEMS_PER_GROUP))
     caps = F.array(*(F.struct(F.lit(int(k)).alias("size_id"), F.lit(int(v)).cast("bigint").alias("capacity")) for k, v in capacities.items()))
     whole = F.expr("n div capacity")
     rest = F.col("n") % F.col("capacity")
@@ -130,13 +131,20 @@ def pack(items: DataFrame, capacities: Mapping[int, int], id_col: str, size_col:
         F.col("n") == 0, F.array(F.lit(0).cast("bigint"))
     ).otherwise(F.array_repeat("capacity", whole.cast("int")))
     pieces = sizes.select("item", "n", F.inline(caps)).select("size_id", "item", F.posexplode(lengths).alias("piece", "tokens"))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(salts)).cast("int"))
-
-    tally = cut(pieces.groupBy("size_id", "tokens", "salt").agg(F.count(F.lit(1)).alias("n")))
     # At most capacity + 1 rows per capacity, whatever the number of items.
     counts: dict[int, dict[int, int]] = {int(k): {} for k in capacities}
-    for r in tally.groupBy("size_id", "tokens").agg(F.sum("n").alias("n")).collect():
+    for r in pieces.groupBy("size_id", "tokens").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r.size_id][r.tokens] = r.n
+    # Only sizes that many items share get salts, so there are no more groups than sizes and items/ITEMS_PER_GROUP.
+    spread = [(k, t, -(-n // ITEMS_PER_GROUP)) for k, per in counts.items() for t, n in per.items() if n > ITEMS_PER_GROUP]
+    spark = items.sparkSession
+    if spread:
+        salts = spark.createDataFrame(spread, "size_id int, tokens bigint, salts int")
+        pieces = pieces.join(F.broadcast(salts), ["size_id", "tokens"], "left")
+        pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        tally = pieces.join(F.broadcast(salts.select("size_id", "tokens")), ["size_id", "tokens"]).groupBy("size_id", "tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        pieces, tally = pieces.withColumn("salt", F.lit(0)), None
     plans = {}
     for sid, capacity in capacities.items():
         steps, containers = best_fit_plan(counts[int(sid)], int(capacity))
@@ -144,14 +152,14 @@ def pack(items: DataFrame, capacities: Mapping[int, int], id_col: str, size_col:
         s = s[np.lexsort((s[:, 1], s[:, 0]))]
         plans[int(sid)] = ((s[:, 0] << 48) + s[:, 1], s[:, 2], s[:, 3], containers)
 
-    before = Window.partitionBy("size_id", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tally.select("size_id", "tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("size_id", "tokens", "salt").orderBy("item", "piece")
-    ranked = (
-        pieces.withColumn("local", F.row_number().over(within).cast("bigint") - 1).join(offsets, ["size_id", "tokens", "salt"])
-        .select("size_id", "item", "piece", "tokens", (F.col("local") + F.col("offset")).alias("rank"))
-    )
-    return ranked.mapInArrow(_assigner(plans), "size_id int, item bigint, piece int, container bigint, tokens bigint")
+    ranked = pieces.withColumn("rank", F.row_number().over(within).cast("bigint") - 1)
+    if tally is not None:
+        before = Window.partitionBy("size_id", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = tally.select("size_id", "tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        ranked = ranked.join(broadcast_if_small(offsets), ["size_id", "tokens", "salt"], "left").withColumn("rank", F.col("rank") + F.coalesce("offset", F.lit(0)))
+    ranked = ranked.select("size_id", "item", "piece", "tokens", "rank")
+    return ranked.mapInArrow(_assigner(spark.sparkContext.broadcast(plans)), "size_id int, item bigint, piece int, container bigint, tokens bigint")
 
 
 def fill(packed: DataFrame, capacities: DataFrame) -> DataFrame:

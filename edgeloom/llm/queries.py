@@ -1,4 +1,7 @@
-"""Queries p6 to p8. Tokenization, bin packing and code-point composition have no SQL; tests hold them to brute force."""
+"""Queries p6 to p8. Tokenization, bin packing and code-point composition have no SQL; tests hold them to brute force.
+
+What a packing must keep, whatever it does, has: ``p7_conserved``.
+"""
 
 from __future__ import annotations
 
@@ -30,6 +33,24 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_containers(spark, d).withColumnRenamed("container_id", "container"), caps)
 
 
+def p7_conserved(spark: SparkSession, d: str) -> DataFrame:
+    """Per container size: the documents placed, those of them with a token too many or too few, and the containers over their capacity."""
+    docs, sizes = table(spark, d, "documents"), table(spark, d, "pack_sizes").where(F.col("capacity_tokens").isNotNull())
+    placed = p7_containers(spark, d)
+    caps = F.broadcast(sizes.select("size_id", "tokenizer", "capacity_tokens"))  # a fixed table
+    own = placed.groupBy("size_id", "doc_id").agg(F.sum("tokens").alias("placed")).join(caps, "size_id")
+    counted = None
+    for r in sizes.select("tokenizer").distinct().collect():
+        one = tokenize.count_tokens(docs, tokenizer=r.tokenizer).select("doc_id", F.lit(r.tokenizer).alias("tokenizer"), "n_tokens")
+        counted = one if counted is None else counted.unionByName(one)
+    wanted = counted.join(caps, "tokenizer").select("size_id", "doc_id", "n_tokens")
+    per_doc = wanted.join(own.select("size_id", "doc_id", "placed"), ["size_id", "doc_id"], "full_outer").groupBy("size_id").agg(
+        F.count("placed").alias("documents"), F.count_if(~F.col("n_tokens").eqNullSafe(F.col("placed"))).alias("changed")
+    )
+    load = placed.groupBy("size_id", "container_id").agg(F.sum("tokens").alias("load")).join(caps, "size_id")
+    return per_doc.join(load.groupBy("size_id").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("over")), "size_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = lookalike.agreeing_pairs(table(spark, d, "documents"))
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -43,5 +64,5 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.agreeing_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p7_fill, p8_found, p8_canonical, p8_classes)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p7_fill, p7_conserved, p8_found, p8_canonical, p8_classes)}
+SQL = {"p7_conserved": "SELECT size_id, (SELECT count(*) FROM documents) AS documents, 0 AS changed, 0 AS over FROM pack_sizes WHERE capacity_tokens IS NOT NULL"}

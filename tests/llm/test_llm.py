@@ -134,7 +134,7 @@ def test_containers_of_documents(spark, sf_dir):
 
 # ---- 8 -------------------------------------------------------------------------------------------------------------
 
-ALIKE = dict(zip(lookalike._OTHERS, lookalike._LATINS, strict=True))
+ALIKE = lookalike.LOOKALIKES
 
 
 def by_database(text):
@@ -145,15 +145,18 @@ def by_database(text):
             continue
         if unicodedata.category(ch) == "Zs":
             ch = " "
-        elif how.startswith(("<wide>", "<narrow>", "<noBreak>")):
-            ch = chr(int(how.split()[1], 16))
+        elif how.startswith(("<wide>", "<narrow>", "<noBreak>", "<font>")) or how.startswith(("<initial>", "<medial>", "<final>", "<isolated>")) and how.count(" ") == 1:
+            ch = "".join(chr(int(x, 16)) for x in how.split()[1:])
+        elif ch in "ﬀﬁﬂﬃﬄﬆĲĳǇǈǉǊǋǌǱǲǳ" or unicodedata.category(ch) == "Nl" and how.startswith("<compat>"):
+            ch = unicodedata.normalize("NFKC", ch)
         out.append(ch)
     s = "".join(ALIKE.get(x, x) for x in unicodedata.normalize("NFD", "".join(out)))
     return unicodedata.normalize("NFC", s)
 
 
 CHARS = [0x300, 0x301, 0x308, 0x323, 0x327, 0x328, 0x345, 0x5B0, 0x3099, 0x65, 0x41, 0x435, 0x438, 0x410, 0x1100, 0x1161, 0x11A8, 0xAC00, 0xAC01, 0x9C7, 0x9BE,
-         0x9D7, 0xDC6, 0xDD9, 0xDCF, 0xDCA, 0x1E9B, 0x212B, 0xFF76, 0xFF9E, 0xFF41, 0xA0, 0x20, 0x3000, 0x200B, 0xAD, 0x2011, 0x1EE5, 0x1D15E, 0x344, 0xFB1D, 0xF73, 0xB2]
+         0x9D7, 0xDC6, 0xDD9, 0xDCF, 0xDCA, 0x1E9B, 0x212B, 0xFF76, 0xFF9E, 0xFF41, 0xA0, 0x20, 0x3000, 0x200B, 0xAD, 0x2011, 0x1EE5, 0x1D15E, 0x344, 0xFB1D, 0xF73, 0xB2,
+         0x1D400, 0x1D7D8, 0x2168, 0x217F, 0xFB03, 0x17F, 0x1C6, 0x1C8, 0xFE8F, 0xFEFB, 0x3B1, 0x3BD, 0x131, 0x13AA, 0xA4D0, 0x2460, 0x3F5, 0x210C]
 
 
 def test_forms_match_the_database():
@@ -196,3 +199,34 @@ def test_nothing_is_shared_between_texts():
     a = lookalike.canonical(pa.array(["e", "́x", "ᄀ", "ᅡ"])).to_pylist()
     assert a == ["e", "́x", "ᄀ", "ᅡ"]
     assert np.array_equal(lookalike.table().mark[[0x301, 0x65]], [230, 0])
+
+
+def test_letters_beyond_the_planted_ones():
+    """Whole ranges by rule, the letters of the list, and what must stay different."""
+    def form(*texts):
+        return lookalike.canonical(pa.array(texts)).to_pylist()
+
+    assert form("ναïve", "ıdea", "ᎪᏢ", "𝐛𝑜𝔩𝕕 𝟘", "Ⅻ ⅳ", "ﬁnal oﬃce", "ﺑ", "Ⲟⲟ", "ꓡꓲꓢꓴ") == ["vaïve", "idea", "AP", "bold 0", "XII iv", "final office", "ب", "Oo", "LISU"]
+    for ch in map(chr, [*range(0x1D400, 0x1D800), *range(0x2160, 0x2180), *range(0xFB00, 0xFB07)]):
+        want = unicodedata.normalize("NFKC", ch)
+        if want.isascii() and want.isalnum() and ch != "ſ" and ch != "ﬅ":
+            assert form(ch) == [want], ascii(ch)
+    same = ["ſ", "①", "²", "ﬅ", "½", "㎏", "ß", "ł", "№"]
+    assert form(*same) == same
+
+
+def test_confusables_of_a_file(spark, tmp_path):
+    f = tmp_path / "confusables.txt"
+    f.write_text("\ufeff# table\n0431 ;\t0036 ;\tMA # digit\n0433 ;\t0072 ;\tMA # r\n0448 ;\t0057 0057 ;\tMA\n00E9 ;\t0065 ;\tMA # decomposes\n2019 ; 0027 ; MA\nx\n\n")
+    letters = lookalike.read_confusables(str(f))
+    assert letters == {"г": "r", "ш": "WW"}
+    df = spark.createDataFrame([(1, "гo"), (2, "ro"), (3, "é’б"), (4, "ш"), (5, "а")], "doc_id long, text string")
+    assert [r.text for r in lookalike.canonical_texts(df, alike=letters).orderBy("doc_id").collect()] == ["ro", "ro", "é’б", "WW", "а"]
+    assert pairs_of(lookalike.agreeing_pairs(df, alike=letters)) == [(1, 2)] and pairs_of(lookalike.agreeing_pairs(df)) == []
+
+
+def test_every_token_is_placed_once(spark, sf_dir):
+    sizes = spark.read.parquet(f"{sf_dir}/pack_sizes.parquet").count()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    got = queries.p7_conserved(spark, sf_dir).collect()
+    assert len(got) == sizes and all((r.documents, r.changed, r.over) == (docs, 0, 0) for r in got)
