@@ -50,29 +50,49 @@ def extract_bodies(sources: DataFrame) -> DataFrame:
     return s.select("id", F.when(F.col("at") > 0, kept).alias("body"))
 
 
+#: Lines of one diff that one task walks; what a longer diff carries over is one row per such stretch.
+STRETCH = 65_536
+
+
+def _carried(rows: DataFrame, key: str, order: str, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` with each null of the columns replaced by the last value before it, in order, within the key."""
+    stretch = rows.withColumn("stretch", F.expr(f"{order} div {STRETCH}"))
+    last = stretch.groupBy(key, "stretch").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns))
+    before = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = last.select(key, "stretch", *(F.last(c, True).over(before).alias(f"from_{c}") for c in columns))
+    within = Window.partitionBy(key, "stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = stretch.select(*(F.last(c, True).over(within).alias(c) if c in columns else F.col(c) for c in stretch.columns))
+    both = own.join(starts, [key, "stretch"])
+    return both.select(*(F.coalesce(c, f"from_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
 def diff_moves(diff: DataFrame) -> DataFrame:
     """(diff_id, fn_name, from_file, to_file): functions removed from one file and added to another, one move per name.
 
-    ``diff`` has (diff_id, line_no, line) of unified diffs; a diff is walked in order of its lines. Of several moves of one
-    name the least by files is given.
+    ``diff`` has (diff_id, line_no, line) of unified diffs; a diff is walked in order of its lines, by stretches. Of several
+    moves of one name the least by files is given; the two least files of each side are enough to tell it, so files are
+    not paired.
     """
-    w = Window.partitionBy("diff_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-
-    def header(mark: str, side: str):
+    def header(mark: str, side: str) -> Column:
         path = F.substring("line", 5, 2_000_000_000)
         return F.when(F.col("line").startswith(mark), F.regexp_replace(path, f"^{side}/", ""))
 
-    seen = diff.select("diff_id", "line", F.last(header("--- ", "a"), True).over(w).alias("a"), F.last(header("+++ ", "b"), True).over(w).alias("b"))
+    rows = diff.select("diff_id", "line_no", "line", header("--- ", "a").alias("a"), header("+++ ", "b").alias("b"))
+    seen = _carried(rows, "diff_id", "line_no", ("a", "b"))
     name = F.regexp_extract("line", r"^[-+]let (?:rec )?([^ (=:\r]*)", 1)
 
-    def side(mark: str, file: str, out: str) -> DataFrame:
+    def side(mark: str, file: str) -> DataFrame:
         at = F.coalesce(file, F.lit(""))
-        rows = seen.where(F.col("line").startswith(f"{mark}let ") & (at != "/dev/null")).select("diff_id", name.alias("fn_name"), at.alias(out))
-        return rows.where(~F.col("fn_name").isin("", "_")).distinct()
-
-    both = side("-", "a", "from_file").join(side("+", "b", "to_file"), ["diff_id", "fn_name"]).where("from_file <> to_file")
-    one = F.min(F.struct("from_file", "to_file")).alias("m")
-    return both.groupBy("diff_id", "fn_name").agg(one).select("diff_id", "fn_name", "m.from_file", "m.to_file")
+        named = seen.where(F.col("line").startswith(f"{mark}let ") & (at != "/dev/null")).select("diff_id", name.alias("fn_name"), at.alias("file"))
+        place = F.row_number().over(Window.partitionBy("diff_id", "fn_name").orderBy("file"))
+        two = named.where(~F.col("fn_name").isin("", "_")).distinct().withColumn("place", place).where("place <= 2")
+        return two.groupBy("diff_id", "fn_name").agg(*(F.max(F.when(F.col("place") == i, F.col("file"))).alias(f"{file}{i}") for i in (1, 2)))
+
+    both = side("-", "a").join(side("+", "b"), ["diff_id", "fn_name"])
+    same, only = F.col("a1") == F.col("b1"), F.col("b2").isNull()
+    return both.select(
+        "diff_id", "fn_name", F.when(same & only, F.col("a2")).otherwise(F.col("a1")).alias("from_file"), F.when(same & ~only, F.col("b2")).otherwise(F.col("b1")).alias("to_file")
+    ).where("from_file is not null")
 
 
 def _population(calls: DataFrame) -> DataFrame:

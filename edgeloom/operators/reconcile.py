@@ -77,7 +77,7 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]
     suspects = rows(left, 0).unionByName(rows(right, 1)).alias("r").join(
         bad.alias("b"), F.col("r.leaf").eqNullSafe(F.col("b.leaf")), "left_semi"
     )
-    sides = suspects.groupBy("leaf", "key").agg(
+    sides = suspects.where(F.col("key").isNotNull()).groupBy("leaf", "key").agg(
         *(F.collect_set(F.when(F.col("side") == i, F.col("row"))).alias(f"s{i}") for i in (0, 1))
     )
 
@@ -89,4 +89,18 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]
     ).otherwise(
         F.array_compact(F.array(*(F.when(values("s0", f) != values("s1", f), F.lit(f)) for f in fields)))
     )
-    return sides.select("key", F.explode(diffs).alias("diff"))
+    found = sides.select("key", F.explode(diffs).alias("diff"))
+    if bad.where(F.col("leaf").isNull()).isEmpty():
+        return found
+    return found.unionByName(_of_no_key(suspects.where(F.col("key").isNull()), fields, names))
+
+
+def _of_no_key(rows: DataFrame, fields: Sequence[str], names: tuple[str, str]) -> DataFrame:
+    """The differences of the rows without a key, of which there may be very many: each value is counted by itself."""
+    value = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f"row.{f}").cast("string").alias("v")) for f in fields))).alias("x")
+    sides = [F.max(F.when(F.col("side") == i, 1).otherwise(0)).alias(f"s{i}") for i in (0, 1)]
+    each = rows.select("key", "side", value).groupBy("key", "x").agg(*sides)
+    off = [F.max(F.when((F.col("x.f") == f) & (F.col("s0") != F.col("s1")), F.lit(f))).alias(f"off_{f}") for f in fields]
+    one = each.groupBy("key").agg(F.max("s0").alias("s0"), F.max("s1").alias("s1"), *off)
+    only = F.when(F.col("s1") == 0, F.array(F.lit(f"{names[0]}_only"))).when(F.col("s0") == 0, F.array(F.lit(f"{names[1]}_only")))
+    return one.select("key", F.explode(only.otherwise(F.array_compact(F.array(*(f"off_{f}" for f in fields))))).alias("diff"))

@@ -709,20 +709,21 @@ def f_group_concat(s: Store) -> DataFrame:
     return s.constructors.groupBy("type_id").agg(F.array_join(F.sort_array(F.collect_list("constructor_name")), ",").alias("names"))
 
 
-@view("SELECT id, CAST(len(list_filter(list_transform(string_split(regexp_replace(trim(temporal_class), '^\\[(.*)\\]$', '\\1', 's'), ','), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(12))), lambda x: x <> '')) AS INT) AS n FROM fx WHERE temporal_class IS NOT NULL AND NOT contains(temporal_class, chr(10))")
-def f_parse_list_or_scalar(s: Store) -> DataFrame:
-    t = F.col("temporal_class")
-    return s.effects.where(t.isNotNull() & ~t.contains("\n")).select("id", F.size(text.list_or_scalar(t)).alias("n"))
-
-
 _TRIM = "trim({x}, chr(32) || chr(9) || chr(10) || chr(13) || chr(12))"
 _UNQUOTE = "CASE WHEN length({x}) > 1 AND {x}[1] = {x}[-1] AND {x}[1] IN ('\"', chr(39)) THEN substring({x}, 2, length({x}) - 2) ELSE {x} END"
 
 
+@view(f"""SELECT id, list_filter(list_transform(string_split(regexp_replace({_TRIM.format(x='temporal_class')}, '^\\[(.*)\\]$', '\\1', 's'), ','), lambda x: {_TRIM.format(x='x')}), lambda x: x <> '') AS items
+ FROM fx WHERE temporal_class IS NOT NULL""")
+def f_parse_list_or_scalar(s: Store) -> DataFrame:
+    """The items with their quotes; ``f_parse_list_items`` takes the quotes off."""
+    return s.effects.where("temporal_class is not null").select("id", text.list_or_scalar(F.col("temporal_class")).alias("items"))
+
+
 @view(f"""SELECT id, list_filter(CASE WHEN length(t) > 1 AND t[1] = '[' THEN list_transform(list_transform(string_split(substring(t, 2, length(t) - 2), ','), lambda x: {_TRIM.format(x='x')}), lambda y: {_UNQUOTE.format(x='y')})
  ELSE list_transform(string_split({_UNQUOTE.format(x='t')}, ','), lambda x: {_TRIM.format(x='x')}) END, lambda z: z <> '') AS items FROM tr""", tr=f"SELECT id, {_TRIM.format(x='temporal_class')} AS t FROM fx WHERE temporal_class IS NOT NULL")
 def f_parse_list_items(s: Store) -> DataFrame:
-    """The items of every list or scalar, those with line breaks too; ``f_parse_list_or_scalar`` counts those without."""
+    """The unquoted items of every list or scalar."""
     return s.effects.where("temporal_class is not null").select("id", text.list_items(F.col("temporal_class")).alias("items"))
 
 
@@ -753,10 +754,19 @@ def f_parse_lsp(s: Store) -> DataFrame:
     return docs(s).select("doc_id", comments.parse_lsp(F.col("text")).alias("p")).select("doc_id", "p.summary.state", F.col("p.violators.text").alias("violators"))
 
 
-@view(f"SELECT doc_id, nullif({_sec('post')}, '') AS post, nullif({_sec('violators')}, '') AS violators FROM ct WHERE {_sec('post')} <> '(none)' AND {_sec('violators')} <> '(none)'", ct=_cut(comments.INDEX_TAGS))
+def _state(tag: str) -> str:
+    return f"CASE {_sec(tag)} WHEN '' THEN 'absent' WHEN '(none)' THEN 'none' ELSE 'present' END"
+
+
+def _body(tag: str) -> str:
+    return f"CASE WHEN {_sec(tag)} NOT IN ('', '(none)') THEN {_sec(tag)} END"
+
+
+@view(f"SELECT doc_id, {_state('post')} AS post_state, {_body('post')} AS post, {_state('violators')} AS violators_state, {_body('violators')} AS violators FROM ct", ct=_cut(comments.INDEX_TAGS))
 def f_parse_cmt(s: Store) -> DataFrame:
+    """State and text of two sections of every document; ``f_parse_cmt_sections`` gives all nine."""
     p = docs(s).select("doc_id", comments.parse_index(F.col("text")).alias("p"))
-    return p.where("p.post.state <> 'none' and p.violators.state <> 'none'").select("doc_id", F.col("p.post.text").alias("post"), F.col("p.violators.text").alias("violators"))
+    return p.select("doc_id", F.col("p.post.state").alias("post_state"), F.col("p.post.text").alias("post"), F.col("p.violators.state").alias("violators_state"), F.col("p.violators.text").alias("violators"))
 
 
 @view("")

@@ -308,3 +308,36 @@ def test_post_dominance_against_removal():
 
         want = [(b, b in reached() and -1 in reached() and -1 not in reached(b), b in reached()) for b in sorted({x for e in edges for x in e} - {-1})]
         assert resolve.always_blocks(edges) == want
+
+
+def test_moves_over_stretches_and_many_files(spark, monkeypatch):
+    """Against a walk line by line, with diffs longer than a stretch and names that leave and enter several files."""
+    import random
+
+    monkeypatch.setattr(compare, "STRETCH", 7)
+    r = random.Random(6)
+    rows, at = [], 0
+    for d in (1, 2, 3):
+        for n in range(60):
+            at += 1
+            line = r.choice([f"--- a/f{r.randrange(4)}", f"+++ b/f{r.randrange(4)}", "+++ /dev/null", "--- /dev/null", " context", f"-let g{r.randrange(3)} x", f"+let rec g{r.randrange(3)} =", "+let _ = 1"])
+            rows.append((d, at, line))
+    want = {}
+    for d in (1, 2, 3):
+        a = b = ""
+        out, into = [], []
+        for _, _, line in [x for x in rows if x[0] == d]:
+            if line.startswith("--- "):
+                a = line[4:].removeprefix("a/")
+            elif line.startswith("+++ "):
+                b = line[4:].removeprefix("b/")
+            elif line.startswith("-let ") and a != "/dev/null":
+                out.append((line.split()[1], a))
+            elif line.startswith("+let rec ") and b != "/dev/null":
+                into.append((line.split()[2], b))
+        for n, f in out:
+            for m, t in into:
+                if n == m and f != t:
+                    want[d, n] = min(want.get((d, n), (f, t)), (f, t))
+    got = compare.diff_moves(spark.createDataFrame(rows, "diff_id int, line_no int, line string")).collect()
+    assert {(x.diff_id, x.fn_name): (x.from_file, x.to_file) for x in got} == want and want

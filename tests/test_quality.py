@@ -133,6 +133,17 @@ def test_reconcile_edges(spark):
     check_diff(spark, [(1, "x", "x")] * 2, [(1, "y", "x")] * 2)
 
 
+def test_reconcile_rows_without_a_key(spark):
+    import random
+
+    r = random.Random(8)
+    for _ in range(6):
+        a, b = ([(r.choice([None, None, 1]), r.choice("xy"), r.choice(["p", None])) for _ in range(r.randrange(0, 5))] for _ in range(2))
+        check_diff(spark, a, b)
+    check_diff(spark, [(None, "x", "p")], [])
+    check_diff(spark, [(None, "x", "p"), (None, "y", None)], [(None, "y", "p"), (None, "x", None)])
+
+
 def test_bisect_follows_only_mismatches():
     import pyarrow as pa
 
