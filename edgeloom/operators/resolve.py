@@ -257,36 +257,36 @@ def cfg_solve(edges: DataFrame) -> DataFrame:
 
 # ---- signatures ------------------------------------------------------------------------------------------------------
 
-def signature_types(signature: str) -> list[tuple[str, str, int | None]]:
-    """(type_name, role, position): constructors of each parameter and of the result, nested ones under the same role."""
-    import re
-
-    depth, parts, at = 0, [], 0
-    for m in re.finditer(r"[(\[{]|[)\]}]|->", signature):
-        if m.group() == "->":
-            if not depth:
-                parts.append(signature[at : m.start()])
-                at = m.end()
-        else:
-            depth += 1 if m.group() in "([{" else -1
-    parts.append(signature[at:])
-    out = []
-    for i, p in enumerate(parts):
-        role, pos = ("return", None) if i == len(parts) - 1 else ("param", i)
-        p = re.sub(r"[a-z_][\w']*\s*:(?!:)", " ", p)  # labels
-        out += [(t, role, pos) for t in re.findall(r"(?<![\w'.`])[A-Za-z_][\w'.]*", p)]
-    return out
-
-
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("type_name", pa.string()), ("usage_role", pa.string()), ("position", pa.int32())]))
-    for b in batches:
-        out = [[dict(zip(("type_name", "usage_role", "position"), x)) for x in signature_types(s)] for s in b.column("signature").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, kind)], names=["id", "used"])
+_LABEL = r"[a-z_][\w']*\s*:(?!:)"
+_TOKEN = r"[(\[{]|[)\]}]|->|(?<![\w'.`])[A-Za-z_][\w'.]*"
+_USED = "array<struct<part:int,type_name:string>>"
+
+
+def signature_types(signature: Column) -> Column:
+    """Array of (type_name, usage_role, position): constructors of each parameter and of the result, nested ones under the same role.
+
+    The tokens of the signature, its labels left out, are folded with the depth in brackets and the number of arrows outside them.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("part"), F.array().cast(_USED).alias("used"))
+
+    def step(at: Column, token: Column) -> Column:
+        depth = at["depth"] + F.when(token.isin("(", "[", "{"), 1).when(token.isin(")", "]", "}"), -1).otherwise(0)
+        part = at["part"] + F.when((token == "->") & (at["depth"] == 0), 1).otherwise(0)
+        one = F.array(F.struct(at["part"].alias("part"), token.alias("type_name")))
+        used = F.when(token.rlike("^[A-Za-z_]"), F.concat(at["used"], one)).otherwise(at["used"])
+        return F.struct(depth.alias("depth"), part.alias("part"), used.alias("used"))
+
+    def roles(at: Column) -> Column:
+        def role(u: Column) -> Column:
+            last = u["part"] == at["part"]
+            return F.struct(u["type_name"].alias("type_name"), F.when(last, "return").otherwise("param").alias("usage_role"), F.when(~last, u["part"]).alias("position"))
+
+        return F.transform(at["used"], role)
+
+    return F.aggregate(F.regexp_extract_all(F.regexp_replace(signature, _LABEL, " "), F.lit(_TOKEN), F.lit(0)), start, step, roles)
 
 
 def usage_of_signatures(functions: DataFrame) -> DataFrame:
     """(function_id, type_name, usage_role, position) of (id, signature); null signatures give no row."""
-    s = functions.where("signature is not null").select(F.col("id").cast("bigint").alias("id"), "signature")
-    u = s.mapInArrow(_signatures, "id bigint, used array<struct<type_name:string,usage_role:string,position:int>>")
-    return u.select(F.col("id").alias("function_id"), F.inline("used"))
+    s = functions.where("signature is not null").select(F.col("id").cast("bigint").alias("function_id"), signature_types(F.col("signature")).alias("used"))
+    return s.select("function_id", F.inline("used"))

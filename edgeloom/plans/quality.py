@@ -88,6 +88,13 @@ found AS (SELECT DISTINCT src_table, strftime(created_at, '%Y-%m') AS period, ro
   AND NOT EXISTS (SELECT 1 FROM names l WHERE l.name = r.n AND l.start <= r.loaded_at AND (l.stop IS NULL OR r.loaded_at < l.stop)))
 """
 
+_TYPE = "CASE {x} WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END"
+_AT = """'$."' || k || '"'"""
+_P4 = f"""
+WITH l AS (SELECT DISTINCT stream_id, file_seq, payload FROM extract_lines WHERE CASE WHEN json_valid(payload) THEN json_type(payload) END = 'OBJECT'),
+kv AS (SELECT stream_id, file_seq, nullif(CAST(json_extract(payload, '$.id') AS VARCHAR), 'null') AS rid, k, {_TYPE.format(x=f"json_type(payload, {_AT})")} AS t, CAST(json_extract(payload, {_AT}) AS VARCHAR) AS v
+ FROM (SELECT *, unnest(json_keys(payload)) AS k FROM l))"""
+
 SQL = {
     "p1_found": _P1 + "SELECT * FROM found",
     "p1_orphans_by_period": _P1 + "SELECT src_table, ref_field, period, count(*) AS orphans FROM found GROUP BY 1, 2, 3",
@@ -99,6 +106,26 @@ UNION ALL SELECT bid, 'mirror_only' FROM j WHERE aid IS NULL
 UNION ALL SELECT aid, 'callee_name' FROM j WHERE aid IS NOT NULL AND bid IS NOT NULL AND an IS DISTINCT FROM bn
 UNION ALL SELECT aid, 'call_site' FROM j WHERE aid IS NOT NULL AND bid IS NOT NULL AND ac IS DISTINCT FROM bc
 UNION ALL SELECT aid, 'kind' FROM j WHERE aid IS NOT NULL AND bid IS NOT NULL AND ak IS DISTINCT FROM bk""",
+    "p4_found": _P4 + """,
+files AS (SELECT DISTINCT stream_id, file_seq FROM extract_lines WHERE stream_id IS NOT NULL),
+pr AS (SELECT * FROM (SELECT stream_id, file_seq, lag(file_seq) OVER (PARTITION BY stream_id ORDER BY file_seq) AS before FROM files) WHERE before IS NOT NULL),
+un AS (SELECT stream_id, file_seq, k, list_sort(list(DISTINCT t) FILTER (WHERE t IS NOT NULL)) AS ts FROM kv GROUP BY 1, 2, 3),
+now AS (SELECT pr.*, un.k, un.ts FROM pr JOIN un USING (stream_id, file_seq)),
+old AS (SELECT pr.*, un.k, un.ts FROM pr JOIN un ON un.stream_id = pr.stream_id AND un.file_seq = pr.before),
+came AS (SELECT * FROM now n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE (o.stream_id, o.file_seq, o.k) = (n.stream_id, n.file_seq, n.k))),
+gone AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM now n WHERE (o.stream_id, o.file_seq, o.k) = (n.stream_id, n.file_seq, n.k))),
+cm AS (SELECT DISTINCT pr.*, a.rid FROM pr JOIN kv a ON (a.stream_id, a.file_seq) = (pr.stream_id, pr.before) JOIN kv b ON (b.stream_id, b.file_seq) = (pr.stream_id, pr.file_seq) AND a.rid = b.rid),
+gv AS (SELECT g.stream_id, g.file_seq, g.k, list_sort(list(DISTINCT (c.rid, v.t, v.v))) AS x FROM gone g JOIN cm c ON (c.stream_id, c.file_seq) = (g.stream_id, g.file_seq) JOIN kv v ON (v.stream_id, v.file_seq, v.rid, v.k) = (g.stream_id, g.before, c.rid, g.k) WHERE v.t IS NOT NULL GROUP BY 1, 2, 3),
+cv AS (SELECT g.stream_id, g.file_seq, g.k, list_sort(list(DISTINCT (c.rid, v.t, v.v))) AS x FROM came g JOIN cm c ON (c.stream_id, c.file_seq) = (g.stream_id, g.file_seq) JOIN kv v ON (v.stream_id, v.file_seq, v.rid, v.k) = (g.stream_id, g.file_seq, c.rid, g.k) WHERE v.t IS NOT NULL GROUP BY 1, 2, 3),
+rn AS (SELECT g.stream_id, g.file_seq, g.k AS o, c.k AS n FROM gv g JOIN cv c ON (c.stream_id, c.file_seq, c.x) = (g.stream_id, g.file_seq, g.x))
+SELECT stream_id, file_seq, 'renamed' AS change, o || '>' || n AS field FROM rn
+UNION ALL SELECT stream_id, file_seq, 'removed', k FROM gone WHERE (stream_id, file_seq, k) NOT IN (SELECT stream_id, file_seq, o FROM rn)
+UNION ALL SELECT stream_id, file_seq, 'added', k FROM came WHERE (stream_id, file_seq, k) NOT IN (SELECT stream_id, file_seq, n FROM rn)
+UNION ALL SELECT n.stream_id, n.file_seq, 'type_changed', n.k FROM now n JOIN old o ON (o.stream_id, o.file_seq, o.k) = (n.stream_id, n.file_seq, n.k) WHERE len(n.ts) > 0 AND len(o.ts) > 0 AND n.ts <> o.ts""",
+    "p4_schema": _P4 + """,
+tr AS (SELECT l.stream_id, l.file_seq, regexp_replace(regexp_replace(t.fullkey, '^\\$\\.', ''), '\\[[0-9]+\\]', '[]', 'g') AS field, """ + _TYPE.format(x="t.type") + """ AS type FROM l, json_tree(l.payload) t WHERE t.fullkey <> '$'),
+pf AS (SELECT DISTINCT stream_id, file_seq, field, coalesce(type, 'null') AS type FROM tr r WHERE type IS NOT NULL OR NOT EXISTS (SELECT 1 FROM tr q WHERE (q.stream_id, q.file_seq, q.field) = (r.stream_id, r.file_seq, r.field) AND q.type IS NOT NULL))
+SELECT stream_id, field, type, min(file_seq) AS first_file, count(*) AS files FROM pf GROUP BY 1, 2, 3""",
     "p5_callee_stats": """
 SELECT callee_name, count(*) AS n_rows, count(DISTINCT caller_id) AS n_distinct, count(*) FILTER (WHERE kind = 'MUST') AS n_must,
  count(*) FILTER (WHERE kind = 'MAY_ENUMERATED') AS n_may_enumerated, count(*) FILTER (WHERE kind = 'MAY_TOP') AS n_may_top,

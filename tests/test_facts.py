@@ -118,10 +118,14 @@ def test_post_dominance(edges, always, unreachable):
     assert {b for b, a, _ in got if a} == always and {b for b, _, r in got if not r} == unreachable
 
 
-def test_signatures():
-    assert resolve.signature_types("int list -> (a, b) t -> unit") == [("int", "param", 0), ("list", "param", 0), ("a", "param", 1), ("b", "param", 1), ("t", "param", 1), ("unit", "return", None)]
-    assert resolve.signature_types("(int -> bool) -> M.t") == [("int", "param", 0), ("bool", "param", 0), ("M.t", "return", None)]
-    assert resolve.signature_types("unit") == [("unit", "return", None)]
+def test_signatures(spark):
+    def types_of(signature):
+        got = spark.createDataFrame([(signature,)], "s string").select(resolve.signature_types(F.col("s")).alias("u")).first().u
+        return [tuple(u) for u in got]
+
+    assert types_of("int list -> (a, b) t -> unit") == [("int", "param", 0), ("list", "param", 0), ("a", "param", 1), ("b", "param", 1), ("t", "param", 1), ("unit", "return", None)]
+    assert types_of("(int -> bool) -> M.t") == [("int", "param", 0), ("bool", "param", 0), ("M.t", "return", None)]
+    assert types_of("unit") == [("unit", "return", None)]
 
 
 def one(spark, value, *exprs):
