@@ -5,7 +5,8 @@ Identities fold nulls to the empty string. Of equal new rows the first by its or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,40 @@ def migrate(df: DataFrame, table: str) -> DataFrame:
     return df
 
 
+_PIECE = re.compile(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\")|(--[^\n]*)|(;)|([^'\"\-;]+|.)", re.DOTALL)
+_ADD = re.compile(r"ALTER\s+TABLE\s+(\w+)\s+ADD\s+(?:COLUMN\s+)?(\w+)\s+(\w+)", re.IGNORECASE)
+#: Spark types by the leading letters of a column's declared type; anything else is text.
+_AFFINITY = (("INT", "bigint"), ("REAL", "double"), ("DOUB", "double"), ("FLOA", "double"))
+
+
+def statements(script: str) -> list[str]:
+    """The statements of a script: comments go, a semicolon ends one, and neither counts inside quotes."""
+    out, now = [], ""
+    for quoted, comment, end, text in _PIECE.findall(script + "\n;"):
+        if end:
+            out, now = out + [now.strip()], ""
+        elif not comment:
+            now += quoted or text
+    return [s for s in out if s]
+
+
+def run_migration(tables: Mapping[str, DataFrame], script: str) -> dict[str, DataFrame]:
+    """The tables after the script's ``ALTER TABLE .. ADD COLUMN`` statements; a column that is there already is no error.
+
+    Other statements change no column of these tables and are passed over; an unknown table is an error.
+    """
+    done = dict(tables)
+    for statement in statements(script):
+        if m := _ADD.match(statement):
+            name, column, declared = m.groups()
+            if name not in done:
+                raise LoadError(f"no table {name}")
+            if column not in done[name].columns:
+                kind = next((k for start, k in _AFFINITY if declared.upper().startswith(start)), "string")
+                done[name] = done[name].withColumn(column, F.lit(None).cast(kind))
+    return done
+
+
 def value_kind_seed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i + 1, k, d) for i, (k, d) in enumerate(VALUE_KINDS)], "id int, name string, description string")
 

@@ -265,7 +265,7 @@ def snk_flat_db(s: Store) -> DataFrame:
 @view("SELECT module_id, name, max(id) AS id FROM fn WHERE module_id IS NOT NULL AND name IS NOT NULL GROUP BY 1, 2")
 def snk_main_db(s: Store) -> DataFrame:
     rows = s.functions.where("module_id is not null and name is not null").select("module_id", "name", "id")
-    return store.last_binding(rows, ["module_id", "name"], "id")
+    return store.replace_table(store.last_binding(rows, ["module_id", "name"], "id"), shared_path(s.spark, "main"))
 
 
 @view("SELECT DISTINCT name, file_path, line_start, line_end, exported FROM fn")
@@ -321,8 +321,11 @@ def snk_attack_edges(s: Store) -> DataFrame:
 
 @view("SELECT id, from_action, NULL::VARCHAR AS from_path FROM ae")
 def snk_migrate(s: Store) -> DataFrame:
-    old = s.attack_edges.drop("from_path", "to_path")
-    return store.migrate(store.migrate(old, "attack_edges"), "attack_edges").select("id", "from_action", "from_path")
+    """A script that adds the path columns, run twice, and the columns of the schema."""
+    script = "-- paths; of both ends\nALTER TABLE attack_edges ADD COLUMN from_path TEXT DEFAULT 'a;--b';\nALTER TABLE attack_edges ADD COLUMN to_path TEXT -- the other end\n"
+    old = {"attack_edges": s.attack_edges.drop("from_path", "to_path")}
+    new = store.run_migration(store.run_migration(old, script), script)["attack_edges"]
+    return store.migrate(new, "attack_edges").select("id", "from_action", "from_path")
 
 
 @view("SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i + 1, k, d.replace("'", "''")) for i, (k, d) in enumerate(VALUE_KINDS)) + ") t(id, name, description)")

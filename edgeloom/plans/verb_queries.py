@@ -94,6 +94,9 @@ QUERIES = {
     "mutators_of_main": _q(lambda s: v.mutators_of_main(s.flat_calls, s.functions, s.modules, s.effects, VALUE_KIND)),
     "effects_of_main": _q(lambda s: v.effects_of_main(s.graph, s.effects, hub(s))),
     "pure_fns_main": _q(lambda s: v.pure_fns_main(s.graph, s.functions, s.modules, s.effects)),
+    "mutators_of_ids": _q(lambda s: v.mutators_of_ids(s.graph, s.functions, s.modules, s.effects, VALUE_KIND)),
+    "effects_of_ids": _q(lambda s: v.effects_of_ids(s.graph, s.functions, s.effects, hub(s))),
+    "pure_fns_ids": _q(lambda s: v.pure_fns_ids(s.graph, s.functions, s.modules, s.effects)),
     "dead_code": _q(lambda s: v.dead_code(_checked(s), s.functions, v.roots_exported(s.functions), contract=True)),
     "dead_code_roots": _q(dead_named),
     "capabilities_of": _q(lambda s: v.capabilities_of(s.effects, COMPONENT)),
@@ -217,6 +220,20 @@ SQL = {
         "SELECT f.name, m.path AS file_path FROM fn f LEFT JOIN modules m ON m.id = f.module_id WHERE f.name IS NOT NULL AND NOT contains(f.name, '*TOP*') AND NOT EXISTS (SELECT 1 FROM r WHERE r.n = f.name)",
         r__n_end=_closure("(SELECT function_name FROM fx WHERE is_direct = 1 AND function_name IS NOT NULL UNION SELECT caller_name FROM fc WHERE kind = 'MAY_TOP' AND raw_kind IS NOT NULL)", BOTH, backward=True, nulls=True),
     ),
+    "mutators_of_ids": sql(
+        f"""SELECT DISTINCT r.n AS function_id, f.name AS function_name, coalesce(e.file_path, m.path) AS file_path,
+ CASE WHEN r.n IN (SELECT function_id FROM fx WHERE value_kind = '{VALUE_KIND}') THEN 'direct' ELSE 'transitive' END AS how, coalesce(e.soundness, 'candidate') AS soundness
+ FROM r JOIN fn f ON f.id = r.n LEFT JOIN fx e ON e.function_id = r.n AND e.value_kind = '{VALUE_KIND}' LEFT JOIN modules m ON m.id = f.module_id""",
+        r__n_end=_closure(f"SELECT function_id FROM fx WHERE value_kind = '{VALUE_KIND}' AND function_id IS NOT NULL", BOTH, backward=True, key="id", nulls=True),
+    ),
+    "effects_of_ids": sql(
+        "SELECT DISTINCT function_id, value_kind, function_name AS mutating_fn, file_path, target, soundness FROM fx WHERE is_direct = 1 AND function_id IN (SELECT n FROM r)",
+        r__n_end=_closure(f"SELECT id FROM fn WHERE name = {HUB}", BOTH, key="id", nulls=True),
+    ),
+    "pure_fns_ids": sql(
+        "SELECT f.id, f.name, m.path AS file_path FROM fn f LEFT JOIN modules m ON m.id = f.module_id WHERE f.name IS NOT NULL AND NOT contains(f.name, '*TOP*') AND NOT EXISTS (SELECT 1 FROM r WHERE r.n = f.id)",
+        r__n_end=_closure("(SELECT function_id FROM fx WHERE is_direct = 1 AND function_id IS NOT NULL UNION SELECT caller_id FROM fc WHERE kind = 'MAY_TOP' AND raw_kind IS NOT NULL)", BOTH, backward=True, key="id", nulls=True),
+    ),
     "dead_code": sql(_DEAD.format(l="sound"), r__n_end=_closure("SELECT name FROM fn WHERE exported = 1 AND name IS NOT NULL", None)),
     "dead_code_roots": sql(_DEAD.format(l="candidate"), r__n_end=_closure(f"SELECT name FROM fn WHERE name = {HUB}", None)),
     "capabilities_of": sql(

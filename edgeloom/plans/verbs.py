@@ -251,6 +251,21 @@ def _mutators(edges: DataFrame, functions: DataFrame, effects: DataFrame, value_
     ).distinct()
 
 
+def mutators_of_ids(calls: DataFrame, functions: DataFrame, modules: DataFrame, effects: DataFrame, value_kind: str) -> DataFrame:
+    """As ``mutators_of_main`` over ids: two functions of one name stay apart, and effects of unknown functions are left out."""
+    mine = effects.where((F.col("value_kind") == value_kind) & F.col("function_id").isNotNull())
+    direct = mine.select(F.col("function_id").alias("n")).distinct()
+    reached = closure(by_id(traversed_main(calls), None, backward=True), one_root(direct, "n")).select("n")
+    fx = mine.select(F.col("function_id").alias("n"), F.col("file_path").alias("fx_file"), "soundness").distinct()
+    m = modules.select(F.col("id").alias("module_id"), F.col("path").alias("fn_file"))
+    fn = functions.select(F.col("id").alias("n"), "name", "module_id").join(m, "module_id", "left")
+    out = reached.join(fn, "n").join(direct.withColumn("direct", F.lit(True)), "n", "left").join(fx, "n", "left")
+    return out.select(
+        F.col("n").alias("function_id"), F.col("name").alias("function_name"), F.coalesce("fx_file", "fn_file").alias("file_path"),
+        F.when(F.col("direct"), "direct").otherwise("transitive").alias("how"), F.coalesce("soundness", F.lit("candidate")).alias("soundness"),
+    ).distinct()
+
+
 def effects_of(calls: DataFrame, effects: DataFrame, name: str) -> DataFrame:
     """Direct effects of everything the name reaches over resolved calls."""
     return _effects(by_name(calls, RESOLVED), effects, name)
@@ -267,6 +282,14 @@ def _effects(edges: DataFrame, effects: DataFrame, name: str) -> DataFrame:
     return fx.select("value_kind", F.col("function_name").alias("mutating_fn"), "file_path", "target", "soundness").distinct()
 
 
+def effects_of_ids(calls: DataFrame, functions: DataFrame, effects: DataFrame, name: str) -> DataFrame:
+    """As ``effects_of_main`` over ids, from all functions of the name."""
+    seeds = one_root(functions.where(F.col("name") == name), "id")
+    reached = closure(by_id(traversed_main(calls), None), seeds).select(F.col("n").alias("function_id"))
+    fx = effects.where("is_direct = 1").join(reached, "function_id", "left_semi")
+    return fx.select("function_id", "value_kind", F.col("function_name").alias("mutating_fn"), "file_path", "target", "soundness").distinct()
+
+
 def _not_named(functions: DataFrame, names: DataFrame) -> DataFrame:
     f = functions.where(F.col("name").isNotNull() & ~F.col("name").contains(TOP))
     return f.join(names.select(F.col("n").alias("name")), "name", "left_anti")
@@ -289,6 +312,16 @@ def _pure(edges: DataFrame, unknown: DataFrame, functions: DataFrame, effects: D
     return _not_named(functions, impure).select("name", "file_path")
 
 
+def pure_fns_ids(calls: DataFrame, functions: DataFrame, modules: DataFrame, effects: DataFrame) -> DataFrame:
+    """As ``pure_fns_main`` over ids: a function is pure by itself, whatever others bear its name."""
+    bad = effects.where("is_direct = 1").select(F.col("function_id").alias("n"))
+    bad = bad.unionByName(calls.where("kind = 'MAY_TOP' and raw_kind is not null").select(F.col("caller_id").alias("n")))
+    impure = closure(by_id(traversed_main(calls), None, backward=True), one_root(bad, "n")).select(F.col("n").alias("id"))
+    m = modules.select(F.col("id").alias("module_id"), F.col("path").alias("file_path"))
+    f = functions.where(F.col("name").isNotNull() & ~F.col("name").contains(TOP)).select("id", "name", "module_id").join(impure, "id", "left_anti").join(m, "module_id", "left")
+    return f.select("id", "name", "file_path")
+
+
 def dead_code(calls: DataFrame, functions: DataFrame, roots: DataFrame, contract: bool) -> DataFrame:
     """Functions no root reaches over edges of any kind; ``roots`` has (n), names that exist."""
     reached = closure(by_name(calls, None), one_root(roots, "n"))

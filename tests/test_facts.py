@@ -345,3 +345,14 @@ def test_moves_over_stretches_and_many_files(spark, monkeypatch):
                     want[d, n] = min(want.get((d, n), (f, t)), (f, t))
     got = compare.diff_moves(spark.createDataFrame(rows, "diff_id int, line_no int, line string")).collect()
     assert {(x.diff_id, x.fn_name): (x.from_file, x.to_file) for x in got} == want and want
+
+
+def test_migration_scripts(spark):
+    script = "-- a; b\nALTER TABLE t ADD COLUMN x TEXT DEFAULT 'it''s; -- no comment'; ;\nalter table t add y integer -- last; one\n;CREATE VIEW v AS SELECT '--' - 1"
+    assert store.statements(script) == ["ALTER TABLE t ADD COLUMN x TEXT DEFAULT 'it''s; -- no comment'", "alter table t add y integer", "CREATE VIEW v AS SELECT '--' - 1"]
+    assert store.statements("") == [] and store.statements("-- only") == []
+    t = {"t": spark.range(2)}
+    once = store.run_migration(t, script)["t"]
+    assert once.dtypes == [("id", "bigint"), ("x", "string"), ("y", "bigint")] and store.run_migration({"t": once}, script)["t"].dtypes == once.dtypes
+    with pytest.raises(LoadError):
+        store.run_migration({}, script)

@@ -188,3 +188,13 @@ def test_prune_rows_below_the_verdict(spark):
     assert [(r.verdict[:15], r.n) for r in v.prune(edges, fx, "S_", "c").collect()] == [("DO NOT PRUNE: 4", 4)]
     assert sorted(r.evidence for r in v.prune_rows(edges, fx, "S_", "c").collect()) == ["e1", "e1", "e2", "e2"]
     assert v.prune(edges, fx, "c_b", "s_a").first().n == 0 and v.prune_rows(edges, fx, "c_b", "s_a").count() == 0
+
+
+def test_effect_verbs_over_ids_keep_names_apart(spark):
+    fn = spark.createDataFrame([(1, "f", 1), (2, "f", 2), (3, "g", 1), (4, "h", None)], "id long, name string, module_id long")
+    modules = spark.createDataFrame([(1, "a.ml"), (2, "b.ml")], "id long, path string")
+    calls = spark.createDataFrame([(3, 1, "MUST", "MUST"), (4, 2, "MAY_TOP", None)], "caller_id long, callee_id long, kind string, raw_kind string")
+    fx = spark.createDataFrame([(1, "f", None, "HeapRef", "t", 1, "sound"), (None, "ext", None, "HeapRef", None, 1, "sound")], "function_id long, function_name string, file_path string, value_kind string, target string, is_direct int, soundness string")
+    assert sorted((r.function_id, r.file_path, r.how) for r in v.mutators_of_ids(calls, fn, modules, fx, "HeapRef").collect()) == [(1, "a.ml", "direct"), (3, "a.ml", "transitive")]
+    assert [r.mutating_fn for r in v.effects_of_ids(calls, fn, fx, "g").collect()] == ["f"] and v.effects_of_ids(calls, fn, fx, "h").count() == 0
+    assert sorted((r.id, r.file_path) for r in v.pure_fns_ids(calls, fn, modules, fx).collect()) == [(2, "b.ml"), (4, None)]
