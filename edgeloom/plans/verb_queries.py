@@ -69,7 +69,7 @@ def action(s: Store) -> str:
 
 QUERIES = {
     "callers_of": _q(lambda s: v.callers_of(s.flat_calls, "Corelib.Result.bind")),
-    "callees_of": _q(lambda s: v.callees_of(s.graph, hub(s))),
+    "callees_of": _q(lambda s: v.callees_of(s.flat_calls, hub(s))),
     "reachable_from": _q(lambda s: v.reachable_from(s.graph, hub(s))),
     "reaches": _q(lambda s: v.reaches(s.graph, pairs(s))),
     "reaches_main": _q(lambda s: v.reaches_main(s.functions, s.graph, pairs(s))),
@@ -88,13 +88,13 @@ QUERIES = {
     "stats_contract": _q(lambda s: v.contract_line(s.meta)),
     "stats_kinds": _q(lambda s: v.kind_stats(s.calls, "raw_kind")),
     "stats_effects": _q(lambda s: v.effect_stats(s.effects)),
-    "mutators_of": _q(lambda s: v.mutators_of(s.graph, s.functions, s.effects, VALUE_KIND)),
+    "mutators_of": _q(lambda s: v.mutators_of(s.named_calls, s.functions, s.effects, VALUE_KIND)),
     "effects_of": _q(lambda s: v.effects_of(s.graph, s.effects, hub(s))),
     "pure_fns": _q(lambda s: v.pure_fns(s.graph, s.functions, s.effects)),
-    "mutators_of_main": _q(lambda s: v.mutators_of_main(s.flat_calls, s.functions, s.modules, s.effects, VALUE_KIND)),
+    "mutators_of_main": _q(lambda s: v.mutators_of_main(s.named_calls, s.functions, s.modules, s.effects, VALUE_KIND)),
     "effects_of_main": _q(lambda s: v.effects_of_main(s.graph, s.effects, hub(s))),
     "pure_fns_main": _q(lambda s: v.pure_fns_main(s.graph, s.functions, s.modules, s.effects)),
-    "mutators_of_ids": _q(lambda s: v.mutators_of_ids(s.graph, s.functions, s.modules, s.effects, VALUE_KIND)),
+    "mutators_of_ids": _q(lambda s: v.mutators_of_ids(s.named_calls, s.functions, s.modules, s.effects, VALUE_KIND)),
     "effects_of_ids": _q(lambda s: v.effects_of_ids(s.graph, s.functions, s.effects, hub(s))),
     "pure_fns_ids": _q(lambda s: v.pure_fns_ids(s.graph, s.functions, s.modules, s.effects)),
     "dead_code": _q(lambda s: v.dead_code(_checked(s), s.functions, v.roots_exported(s.functions), contract=True)),
