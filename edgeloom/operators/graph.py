@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from edgeloom.cluster import BROADCAST_ROWS, Bucketed, cut, drop_cut
 
 #: Edges times roots that one task walks by itself, and the pairs it traces back: some 200 MB of arrays.
-LOCAL_WORK = 4_000_000
+LOCAL_WORK = 2_000_000
 #: Hops of one job over a frontier of at most ``THIN`` rows; a larger one is cut after every hop.
 HOPS = 8
 THIN = BROADCAST_ROWS

@@ -14,23 +14,50 @@ from edgeloom.schemas import CONTRACT, CONTRACT_KEY, TOP
 
 #: Names whose call changes the state of the kind; matched whole or by their last two segments.
 CALLEE_KINDS = {
-    "HashTbl": "Hashtbl.add Hashtbl.replace Hashtbl.remove Hashtbl.clear Hashtbl.reset Hashtbl.filter_map_inplace",
-    "ArrayElem": "Array.set Array.unsafe_set Bigarray.Array1.set Bigarray.Array2.set Bigarray.Array3.set",
-    "BytesBuf": "Bytes.set Bytes.blit Bytes.fill Bytes.unsafe_set Buffer.add_string Buffer.add_bytes Buffer.add_char Buffer.add_channel Buffer.add_buffer "
-    "Buffer.add_utf_8_uchar Buffer.add_subbytes Buffer.add_substring Buffer.reset Buffer.clear",
-    "IoSideEffect": "print_string print_int print_float print_char print_endline print_newline Printf.printf Printf.eprintf Printf.fprintf Printf.bprintf output_string "
-    "output_bytes output_char output_value flush Format.printf Format.eprintf Format.fprintf Format.kasprintf Fmt.pr Fmt.epr",
-    "EnvVar": "Sys.putenv Unix.putenv",
-    "FileSystem": "open_out open_out_bin open_out_gen Unix.openfile Unix.creat Unix.unlink Unix.rename Unix.chmod Unix.chown Unix.mkdir Unix.rmdir Unix.symlink "
-    "Unix.truncate Unix.ftruncate",
-    "Network": "Unix.connect Unix.bind Unix.listen Unix.accept Unix.send Unix.recv Unix.sendto Unix.recvfrom Unix.sendmsg Unix.recvmsg Unix.shutdown Unix.socket Unix.socketpair",
+    "HashTbl": (
+        "Hashtbl.add", "Hashtbl.replace", "Hashtbl.remove", "Hashtbl.clear", "Hashtbl.reset", "Hashtbl.filter_map_inplace",
+    ),
+    "ArrayElem": (
+        "Array.set", "Array.unsafe_set", "Bigarray.Array1.set", "Bigarray.Array2.set", "Bigarray.Array3.set",
+    ),
+    "BytesBuf": (
+        "Bytes.set", "Bytes.blit", "Bytes.fill", "Bytes.unsafe_set", "Buffer.add_string", "Buffer.add_bytes", "Buffer.add_char",
+        "Buffer.add_channel", "Buffer.add_buffer", "Buffer.add_utf_8_uchar", "Buffer.add_subbytes", "Buffer.add_substring", "Buffer.reset",
+        "Buffer.clear",
+    ),
+    "IoSideEffect": (
+        "print_string", "print_int", "print_float", "print_char", "print_endline", "print_newline", "Printf.printf", "Printf.eprintf",
+        "Printf.fprintf", "Printf.bprintf", "output_string", "output_bytes", "output_char", "output_value", "flush", "Format.printf",
+        "Format.eprintf", "Format.fprintf", "Format.kasprintf", "Fmt.pr", "Fmt.epr",
+    ),
+    "EnvVar": (
+        "Sys.putenv", "Unix.putenv",
+    ),
+    "FileSystem": (
+        "open_out", "open_out_bin", "open_out_gen", "Unix.openfile", "Unix.creat", "Unix.unlink", "Unix.rename", "Unix.chmod",
+        "Unix.chown", "Unix.mkdir", "Unix.rmdir", "Unix.symlink", "Unix.truncate", "Unix.ftruncate",
+    ),
+    "Network": (
+        "Unix.connect", "Unix.bind", "Unix.listen", "Unix.accept", "Unix.send", "Unix.recv", "Unix.sendto", "Unix.recvfrom",
+        "Unix.sendmsg", "Unix.recvmsg", "Unix.shutdown", "Unix.socket", "Unix.socketpair",
+    ),
 }
 #: The same for Go, whole names only.
 GO_CALLEE_KINDS = {
-    "IoSideEffect": "fmt.Print fmt.Println fmt.Printf fmt.Fprintf fmt.Fprintln fmt.Fprint log.Print log.Println log.Printf log.Fatal log.Fatalf log.Fatalln",
-    "EnvVar": "os.Setenv",
-    "FileSystem": "os.Create os.OpenFile os.Remove os.RemoveAll os.Rename os.Mkdir os.MkdirAll os.MkdirTemp ioutil.WriteFile os.WriteFile",
-    "Network": "net.Dial net.DialTCP net.Listen net.ListenTCP",
+    "IoSideEffect": (
+        "fmt.Print", "fmt.Println", "fmt.Printf", "fmt.Fprintf", "fmt.Fprintln", "fmt.Fprint", "log.Print", "log.Println", "log.Printf",
+        "log.Fatal", "log.Fatalf", "log.Fatalln",
+    ),
+    "EnvVar": (
+        "os.Setenv",
+    ),
+    "FileSystem": (
+        "os.Create", "os.OpenFile", "os.Remove", "os.RemoveAll", "os.Rename", "os.Mkdir", "os.MkdirAll", "os.MkdirTemp",
+        "ioutil.WriteFile", "os.WriteFile",
+    ),
+    "Network": (
+        "net.Dial", "net.DialTCP", "net.Listen", "net.ListenTCP",
+    ),
 }
 #: Go receivers by suffix, with the method names that mutate them (a star stands for any rest).
 GO_RECEIVERS = (
@@ -38,7 +65,8 @@ GO_RECEIVERS = (
     ("IoSideEffect", ("os.File",), ("Write*",)),
     ("Network", ("net.Conn", "net.UDPConn", "net.TCPConn"), ("Write*", "Send*")),
 )
-NORETURN = tuple(f"Stdlib.{x}" for x in ("raise", "raise_notrace", "failwith", "invalid_arg", "exit"))
+#: Functions that do not return.
+NORETURN = ("Stdlib.raise", "Stdlib.raise_notrace", "Stdlib.failwith", "Stdlib.invalid_arg", "Stdlib.exit")
 
 
 def _lookup(functions: DataFrame) -> DataFrame:
@@ -136,8 +164,8 @@ def go_kinds(calls: DataFrame) -> DataFrame:
     return c.groupBy("caller", "callee", "site").agg(F.min("kind").alias("kind"))
 
 
-def _kind_table(spark, kinds: dict[str, str], key: str) -> DataFrame:
-    rows = [(name, kind, i) for i, (kind, names) in enumerate(kinds.items()) for name in names.split()]
+def _kind_table(spark, kinds: dict[str, tuple[str, ...]], key: str) -> DataFrame:
+    rows = [(name, kind, i) for i, (kind, names) in enumerate(kinds.items()) for name in names]
     return F.broadcast(spark.createDataFrame(rows, f"{key} string, kind string, priority int"))
 
 

@@ -538,7 +538,7 @@ def etl_go_kind(s: Store) -> DataFrame:
     return resolve.go_kinds(c)
 
 
-_TABLE = "VALUES " + ", ".join(f"('{n}', '{k}', {i})" for i, (k, ns) in enumerate(resolve.CALLEE_KINDS.items()) for n in ns.split())
+_TABLE = "VALUES " + ", ".join(f"('{n}', '{k}', {i})" for i, (k, ns) in enumerate(resolve.CALLEE_KINDS.items()) for n in ns)
 _STD = ("Stdlib.Hashtbl.replace", "Array.set", "print_endline", "Unix.Unix.rename", "Fmt.epr", "My.Buffer.clear")
 
 

@@ -7,6 +7,7 @@ closures over resolved kinds and counts as an escape; only the ``_main`` verbs o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,20 +27,15 @@ UNKNOWN = (
     "cannot rule out a path. Do NOT kill G2."
 )
 UNREACHABLE = "UNREACHABLE: no resolved path {a} -> {b} and no reachable MAY_TOP — sound; G2 fails by construction."
+CONTRACT_LINE, NO_CONTRACT = "contract: ", "<none — not ⊤-marked; 'unreachable' will refuse>"
+PRUNE = "PRUNE: no shared resource found between '{a}' and '{b}' — safe to prune (P13 passes)"
+DO_NOT_PRUNE = "DO NOT PRUNE: {n} shared_resource edge(s) between '{a}' and '{b}' — P13 signal"
 
 
-def text(template: str, a: str = "a", b: str = "b") -> Column:
-    """A verdict text with the columns put in."""
-    parts: list[Column] = []
-    for i, chunk in enumerate(template.replace("{b}", "{a}{b}").split("{a}")):
-        if i and chunk.startswith("{b}"):
-            parts.append(F.col(b))
-            chunk = chunk[3:]
-        elif i:
-            parts.append(F.col(a))
-        if chunk:
-            parts.append(F.lit(chunk))
-    return F.concat(*parts)
+def text(template: str) -> Column:
+    """A verdict text with the columns it names in braces put in."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(parts) if x))
 
 
 def unresolved_kind(kind: str = "kind") -> Column:
@@ -122,7 +118,7 @@ def stats(functions: DataFrame, calls: DataFrame) -> DataFrame:
 def contract_line(meta: DataFrame) -> DataFrame:
     """(line): the first line of the statistics, which names the contract of the index or says that it has none."""
     stamp = meta.where(F.col("key") == CONTRACT_KEY).agg(F.min("value").alias("value"))
-    return stamp.select(F.concat(F.lit("contract: "), F.coalesce("value", F.lit("<none — not ⊤-marked; 'unreachable' will refuse>"))).alias("line"))
+    return stamp.select(F.concat(F.lit(CONTRACT_LINE), F.coalesce("value", F.lit(NO_CONTRACT))).alias("line"))
 
 
 def kind_stats(calls: DataFrame, kind: str = "kind") -> DataFrame:
@@ -414,10 +410,7 @@ def prune_pairs(edges: DataFrame, effects: DataFrame, pairs: Sequence[tuple[str,
     n = _shared(edges, effects, list(dict.fromkeys(x for p in pairs for x in p))).groupBy("a", "b").agg(F.sum("times").alias("n"))
     asked = edges.sparkSession.createDataFrame(list(pairs), "a string, b string").distinct()
     n = asked.join(n, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    between = F.concat(F.lit("'"), F.col("a"), F.lit("' and '"), F.col("b"), F.lit("'"))
-    none = F.concat(F.lit("PRUNE: no shared resource found between "), between, F.lit(" — safe to prune (P13 passes)"))
-    some = F.concat(F.lit("DO NOT PRUNE: "), F.col("n"), F.lit(" shared_resource edge(s) between "), between, F.lit(" — P13 signal"))
-    return n.select("a", "b", F.when(F.col("n") == 0, none).otherwise(some).alias("verdict"), "n")
+    return n.select("a", "b", F.when(F.col("n") == 0, text(PRUNE)).otherwise(text(DO_NOT_PRUNE)).alias("verdict"), "n")
 
 
 def prune(edges: DataFrame, effects: DataFrame, a: str, b: str) -> DataFrame:

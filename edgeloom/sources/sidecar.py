@@ -60,7 +60,7 @@ def parse_sidecar(text: str, path: str = "") -> dict[str, list]:
             out["caps"].append({"function_name": cap.pop("fn"), **cap})
         elif section == "attack_edges" and item.keys() & {"from", "to", "edge_type"}:
             if not {"from", "to", "edge_type"} <= item.keys():
-                out["errors"].append("incomplete attack_edge entry (missing from/to/edge_type)")
+                out["errors"].append("an attack edge lacks its from, to or edge_type")
             elif item["edge_type"] not in EDGE_TYPES:
                 out["errors"].append(f"unknown edge_type '{item['edge_type']}'")
             else:
@@ -94,7 +94,7 @@ def parse_sidecar(text: str, path: str = "") -> dict[str, list]:
             item[key] = unquoted(value)
     close()
     if content and not out["caps"] and not out["edges"]:
-        out["errors"].append(f"sidecar {path}: parsed 0 capabilities and 0 attack_edges from a non-empty file — likely a schema/dialect mismatch")
+        out["errors"].append(f"{path}: the file is not empty, yet it holds neither capabilities nor attack edges in the form that is read here")
     return out
 
 
