@@ -173,11 +173,12 @@ class _Scan:
         self.raw, self.g, self.n = np.frombuffer(raw, np.uint8), g, len(texts)
         self.at = np.concatenate([[0], np.cumsum(width)])
         self.row = np.repeat(np.arange(self.n), width)
-        known, which = np.unique(cp, return_inverse=True)
-        chars = [chr(c) for c in known]
+        known = np.flatnonzero(np.bincount(cp)) if len(cp) else np.zeros(0, np.int64)
+        chars, marked = [chr(c) for c in known], np.zeros(int(known[-1]) + 1 if len(known) else 1, bool)
 
         def of(test: Callable[[str], object]) -> np.ndarray:
-            return np.array([bool(test(c)) for c in chars], bool)[which] if len(chars) else np.zeros(0, bool)
+            marked[known] = [bool(test(c)) for c in chars]
+            return marked[cp]
 
         letter = regex.compile(f"[{_LETTER}]")
         self.blank, self.word = of(str.isspace), of(lambda c: c in g.own or letter.match(c))
@@ -402,8 +403,9 @@ def _splitter(g: Grammar, separators: tuple[str, ...]) -> regex.Pattern:
     blank = [{"\n": r"\s*[\r\n]\s*", "\t": r"\s*\t\s*", " ": r"\s+", "  ": r"\s{2,}"}[s] for s in separators if not s.strip()]
     sep = "|".join(([rf"[{visible.replace('-', chr(92) + '-')}]"] if visible else []) + blank) or r"(?!)"
     held = g.held + (f"|{_BRACKET}" if g.brackets else "")
-    # A quote only quotes where a piece begins; everything else is taken character by character.
-    return regex.compile(rf"(?P<held>{held})|(?P<sep>{sep})|(?P<rest>.)", regex.DOTALL)
+    # Runs in which nothing can begin are taken at once, everything else character by character.
+    plain = rf"[^\s{regex.escape(''.join(sorted(g.paired)))}{visible.replace('-', chr(92) + '-')}]++"
+    return regex.compile(rf"(?P<held>{held})|(?P<sep>{sep})|(?P<rest>{plain}|.)", regex.DOTALL)
 
 
 @lru_cache(maxsize=200_000)
