@@ -730,10 +730,17 @@ def f_parse_list_items(s: Store) -> DataFrame:
     return s.effects.where("temporal_class is not null").select("id", text.list_items(F.col("temporal_class")).alias("items"))
 
 
-@view("")
+def _touched(name: str) -> str:
+    found = f"regexp_extract(o, '[\"'']?{name}[\"'']?\\s*:\\s*[\"'']?([^\"'',}}]*)', 1)"
+    return _TRIM.format(x=found)
+
+
+@view("""SELECT id, list_transform(entries, lambda e: e.kind) AS kinds, list_transform(entries, lambda e: e.direction) AS directions, CASE WHEN len(entries) > 0 THEN '[' || array_to_string(list_transform(entries, lambda e: '{"kind":"' || e.kind || '","direction":"' || e.direction || '"}'), ',') || ']' END AS encoded FROM en""",
+    en=f"SELECT id, list_filter(list_transform(regexp_extract_all(value_touched, '\\{{[^{{}}]*\\}}'), lambda o: struct_pack(kind := {_touched('kind')}, direction := {_touched('direction')})), lambda e: e.kind <> '' AND e.direction <> '') AS entries FROM fx WHERE value_touched IS NOT NULL")
 def f_parse_value_touched(s: Store) -> DataFrame:
     entries = text.parse_value_touched(F.col("value_touched"))
-    return s.effects.where("value_touched is not null").select("id", entries.alias("entries"), text.encode_value_touched(entries).alias("encoded"))
+    parsed = s.effects.where("value_touched is not null").select("id", entries.alias("e"))
+    return parsed.select("id", F.col("e.kind").alias("kinds"), F.col("e.direction").alias("directions"), text.encode_value_touched(F.col("e")).alias("encoded"))
 
 
 @view("SELECT id, array_to_string(string_split(name, '.')[-2:], '.') AS two, string_split(name, '.')[-1] AS one FROM fn WHERE name IS NOT NULL")
@@ -747,8 +754,9 @@ def f_find_tags_brace(s: Store) -> DataFrame:
     return docs(s).select("doc_id", comments._parts(F.col("text"), comments._brace(comments.LSP_TAGS))["names"].alias("tags"))
 
 
-@view("")
+@view("SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[ \\n\\t]'), lambda w: CASE WHEN contains(w, '@') THEN substr(w, strpos(w, '@') + 1) END), lambda x: x IN (" + ", ".join(f"'{t}'" for t in comments.LSP_TAGS) + ")) AS tags FROM documents WHERE text IS NOT NULL")
 def f_find_tags_jsdoc(s: Store) -> DataFrame:
+    """Tags after the first at-sign of a run without blanks, if they are all that follows it there."""
     return docs(s).select("doc_id", comments._parts(F.col("text"), comments._at(comments.LSP_TAGS))["names"].alias("tags"))
 
 
@@ -784,7 +792,13 @@ def f_violators_json(s: Store) -> DataFrame:
     return docs(s).select("doc_id", comments.violators_json(comments.parse_lsp(F.col("text"))["violators"]["text"]).alias("violators_raw"))
 
 
-@view("")
+_KEPT = f"list_filter(list_transform(string_split({_sec('violators')}, chr(10)), lambda x: {_TRIM.format(x='x')}), lambda x: x NOT IN ('', '(none)'))"
+_SPLIT = f"[struct_pack(name := CASE WHEN contains(x, '—') THEN {_TRIM.format(x="split_part(x, '—', 1)")} END, reason := CASE WHEN contains(x, '—') THEN {_TRIM.format(x="substr(x, strpos(x, '—') + 1)")} ELSE x END)]"
+
+
+@view("SELECT doc_id, unnest(entries, recursive := true) FROM vl", ct=_cut(comments.INDEX_TAGS), vl=f"""SELECT doc_id, list_reduce(list_transform({_KEPT}, lambda x: {_SPLIT}), lambda a, e: CASE WHEN e[1].name IS NULL THEN CASE WHEN len(a) > 0
+ THEN list_concat(a[1:len(a) - 1], [struct_pack(name := a[-1].name, reason := a[-1].reason || ' ' || e[1].reason)]) ELSE a END WHEN e[1].name = '' OR starts_with(e[1].name, '(') THEN a ELSE list_concat(a, e) END,
+ CAST([] AS STRUCT(name VARCHAR, reason VARCHAR)[])) AS entries FROM ct""")
 def f_violator_entries(s: Store) -> DataFrame:
     return docs(s).select("doc_id", F.inline(comments.violator_entries(comments.parse_index(F.col("text"))["violators"]["text"])))
 
@@ -841,7 +855,8 @@ def f_md5_trim(s: Store) -> DataFrame:
     return docs(s).select("doc_id", text.body_digest(F.col("text")).alias("digest"), (text.strip(F.col("text")) == F.col("text")).alias("trimmed"))
 
 
-@view("")
+@view(f"""SELECT doc_id, CAST(i AS INT) AS line_no, {_TRIM.format(x="regexp_extract(line, '^(?:\"[^\"]*(?:\"|$)|''[^'']*(?:''|$)|[^\"''#]+)*', 0)")} AS kept
+ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)""")
 def f_strip_inline_comment(s: Store) -> DataFrame:
     """The part of every line of a text before a number sign outside quotes; lines count from 1."""
     return stripped_lines(docs(s))
