@@ -95,7 +95,41 @@ WITH l AS (SELECT DISTINCT stream_id, file_seq, payload FROM extract_lines WHERE
 kv AS (SELECT stream_id, file_seq, nullif(CAST(json_extract(payload, '$.id') AS VARCHAR), 'null') AS rid, k, {_TYPE.format(x=f"json_type(payload, {_AT})")} AS t, CAST(json_extract(payload, {_AT}) AS VARCHAR) AS v
  FROM (SELECT *, unnest(json_keys(payload)) AS k FROM l))"""
 
+# A walk over the characters of a text: q is the open quote, p whether it may just have been closed, d the depth of brackets.
+_STATE = "STRUCT(q VARCHAR, p BOOLEAN, d INT, cur VARCHAR, items VARCHAR[])"
+_WS = "chr(32) || chr(9) || chr(10) || chr(13)"
+
+
+def _walk(quotes: str, brackets: bool, allowed: str) -> str:
+    def state(q: str = "s.q", p: str = "false", d: str = "s.d", cur: str = "s.cur", items: str = "s.items") -> str:
+        return f"struct_pack(q := {q}, p := {p}, d := {d}, cur := {cur}, items := {items})"
+
+    cut = state(cur="''", items="list_append(s.items, s.cur)")
+    more, double = state(cur="s.cur || c.cur"), "s.cur[-1] = ' ' AND c.cur = ' '" if brackets else "false"
+    nested = f"WHEN contains('([{{', c.cur) THEN {state(d='s.d + 1', cur='s.cur || c.cur')} WHEN s.d > 0 AND contains(')]}}', c.cur) THEN {state(d='s.d - 1', cur='s.cur || c.cur')} WHEN s.d > 0 THEN {more}" if brackets else ""
+    step = f"""CASE WHEN s.q <> '' AND s.p THEN {state(cur="s.cur || c.cur")} WHEN s.q <> '' AND c.cur = s.q THEN {state(p='true')} WHEN s.q <> '' THEN {more}
+ WHEN s.d = 0 AND contains({quotes}, c.cur) AND trim(s.cur, {_WS}) = '' THEN {state(q='c.cur', cur="''")} {nested} WHEN {double} THEN {cut} WHEN NOT contains({allowed}, c.cur) THEN {cut} ELSE {more} END"""
+    closed = f"CASE WHEN s.q <> '' AND s.p AND c.cur <> s.q THEN {cut.replace('q := s.q', chr(113) + ' := ' + chr(39) * 2)} ELSE s END"
+    start = f"CAST({state(q=chr(39) * 2, d='0', cur=chr(39) * 2, items='[]')} AS {_STATE})"
+    chars = f"list_transform(string_split(t, ''), lambda x: CAST({state(q=chr(39) * 2, d='0', cur='x', items='[]')} AS {_STATE}))"
+    return f"list_reduce({chars}, lambda s, c: list_transform([{closed}], lambda s: {step})[1], {start})"
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'"
+_AROUND = "CASE WHEN length(t) > 1 AND t[1] = '[' AND t[-1] = ']' AND {whole} THEN substring(t, 2, length(t) - 2) ELSE t END"
+# Around a whole field of types if no bracket closes before the end to depth 0, and the field itself is no variant.
+_FLAT = "regexp_replace({x}, '[(\\[{{][^(){{}}\\[\\]]*[)\\]}}]', '', 'g')"
+_ALONE = "NOT contains(" + _FLAT.format(x=_FLAT.format(x="substring(t, 2, length(t) - 2)")) + ", '`') AND len(list_filter(list_transform(range(1, length(t)), lambda i: length(regexp_replace(t[1:i], '[^(\\[{]', '', 'g')) - length(regexp_replace(t[1:i], '[^)\\]}]', '', 'g'))), lambda d: d = 0)) = 0"
+_P3 = f"""
+WITH raw AS (SELECT DISTINCT 'function_effects' AS src_table, id AS row_id, 'actor_role' AS field, trim(actor_role, {_WS}) AS t FROM function_effects UNION SELECT 'function_effects', id, 'temporal_class', trim(temporal_class, {_WS}) FROM function_effects
+ UNION SELECT 'type_constructors', id, 'arg_types', trim(arg_types, {_WS}) FROM type_constructors),
+bare AS (SELECT src_table, row_id, field, CASE WHEN field = 'arg_types' THEN {_AROUND.format(whole=_ALONE)} ELSE {_AROUND.format(whole='true')} END AS t FROM raw WHERE t <> ''),
+walked AS (SELECT src_table, row_id, field, CASE WHEN field = 'arg_types' THEN {_walk("chr(34)", True, _LETTERS + " || '_.'':' || chr(32)")} ELSE {_walk("chr(34) || chr(39)", False, _LETTERS + " || '_-.:'")} END AS s FROM bare),
+pieces AS (SELECT src_table, row_id, field, list_filter(list_transform(list_append(s.items, s.cur), lambda x: trim(x, {_WS})), lambda x: x <> '') AS items FROM walked)
+SELECT src_table, row_id, field, CAST(i - 1 AS BIGINT) AS pos, item FROM (SELECT src_table, row_id, field, unnest(items) AS item, generate_subscripts(items, 1) AS i FROM pieces)"""
+
 SQL = {
+    "p3_found": _P3,
     "p1_found": _P1 + "SELECT * FROM found",
     "p1_orphans_by_period": _P1 + "SELECT src_table, ref_field, period, count(*) AS orphans FROM found GROUP BY 1, 2, 3",
     "p2_found": """
