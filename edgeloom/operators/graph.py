@@ -28,7 +28,7 @@ from edgeloom.cluster import BROADCAST_ROWS, Bucketed, cut, drop_cut
 #: Edges times roots that one task walks by itself, and the pairs it traces back: some 200 MB of arrays.
 LOCAL_WORK = 2_000_000
 #: Hops of one job over a frontier of at most ``THIN`` rows; a larger one is cut after every hop.
-HOPS = 8
+HOPS = 4
 THIN = BROADCAST_ROWS
 #: A source with more edges is a hub: it is spread over several buckets. There are never more than MAX_HUBS of them.
 HUB_EDGES, MAX_HUBS = 100_000, 50_000
@@ -169,7 +169,8 @@ def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int | None, parents: bo
         hops = hops if max_depth is None else min(hops, max_depth - depth)
         for i in range(hops):
             at = front.withColumnRenamed("n", "src")
-            step = layout.step(F.broadcast(at) if thin and not i else at)
+            # A thin frontier is hashed, so that the edges of its bucket are streamed past it unsorted.
+            step = layout.step(F.broadcast(at) if thin and not i else at.hint("shuffle_hash") if hops > 1 else at)
             step = step.groupBy("root", "n").agg(F.min("parent").alias("parent")) if parents else step.select("root", "n").distinct()
             front = step.join(seen, ["root", "n"], "left_anti").withColumn("depth", F.lit(depth + i + 1))
             levels.append(front)
