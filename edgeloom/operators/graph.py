@@ -15,7 +15,9 @@ A seed is part of its closure even if no edge knows it; null ends are never foll
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -143,13 +145,25 @@ class _Layout:
             edges = edges.join(F.broadcast(self.hubs), "src", "left").withColumn("salt", salt)
         self.table = Bucketed(edges.select(*self.keys, "dst"), self.keys, n)
 
-    def step(self, frontier: DataFrame) -> DataFrame:
-        """(root, n, parent) one hop on from (root, src)."""
+    def step(self, found: DataFrame, depth: int, keep: Sequence[str], hashed: bool) -> DataFrame:
+        """``found`` (root, n, x) and the neighbours of its nodes at ``depth``, with their own depth and their parent.
+
+        ``hashed`` tells that ``found`` is thin: its buckets are hashed and the edges streamed past them unsorted.
+        """
+        left = found.withColumnRenamed("n", "src")
         if self.any_hub:
             salt = F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))
-            frontier = frontier.join(F.broadcast(self.hubs), "src", "left").withColumn("salt", salt)
-        at = frontier.select("root", *self.keys)
-        return at.join(self.table.frame(), [*self.keys]).select("root", F.col("dst").alias("n"), F.col("src").alias("parent"))
+            left = left.join(F.broadcast(self.hubs), "src", "left").withColumn("salt", salt).drop("slots")
+        edges = self.table.frame().alias("e")
+        at = (left.hint("shuffle_hash") if hashed else left).alias("f")
+        here = [F.col(f"f.{k}") == F.col(f"e.{k}") for k in self.keys]
+        both = at.join(edges, reduce(and_, here, F.col("f.x.depth") == depth), "left")
+        x = {"depth": F.lit(depth + 1), "parent": F.col("f.src")}
+        ends = F.array(
+            F.struct(F.col("f.src").alias("n"), F.col("f.x").alias("x")),
+            F.struct(F.col("e.dst").alias("n"), F.struct(*(x[k].alias(k) for k in keep)).alias("x")),
+        )
+        return both.select("root", F.inline(ends)).where("n is not null")
 
 
 def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int | None, parents: bool, enough: Callable[[DataFrame], bool] | None = None) -> DataFrame:
@@ -163,21 +177,14 @@ def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int | None, parents: bo
     depth, size = 0, None
     while max_depth is None or depth < max_depth:
         seen = visited.frame().select("root", "n")
-        front, levels = visited.frame().where(F.col("depth") == depth).select("root", "n"), []
         thin = size is not None and size <= THIN
         hops = HOPS if size is None or thin else 1
         hops = hops if max_depth is None else min(hops, max_depth - depth)
+        new = visited.frame().where(F.col("depth") == depth).select("root", "n", F.struct(*keep).alias("x"))
         for i in range(hops):
-            at = front.withColumnRenamed("n", "src")
-            # A thin frontier is hashed, so that the edges of its bucket are streamed past it unsorted.
-            step = layout.step(F.broadcast(at) if thin and not i else at.hint("shuffle_hash") if hops > 1 else at)
-            step = step.groupBy("root", "n").agg(F.min("parent").alias("parent")) if parents else step.select("root", "n").distinct()
-            front = step.join(seen, ["root", "n"], "left_anti").withColumn("depth", F.lit(depth + i + 1))
-            levels.append(front)
-        new = levels[0]
-        for level in levels[1:]:
-            new = new.unionByName(level)
-        new = new.groupBy("root", "n").agg(F.min(F.struct(*keep)).alias("x")).select("root", "n", "x.*")
+            # One chain of joins: a hop keeps what the hops before it found and adds what its frontier leads to.
+            new = layout.step(new, depth + i, keep, hashed=hops > 1).groupBy("root", "n").agg(F.min("x").alias("x")).join(seen, ["root", "n"], "left_anti")
+        new = new.select("root", "n", "x.*")
         depth += hops
         seen_now = Observation()
         visited.append(new.observe(seen_now, F.count_if(F.col("depth") == depth).alias("last")))

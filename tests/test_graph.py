@@ -156,14 +156,14 @@ def test_a_hop_moves_only_the_frontier(spark, hub, monkeypatch):
     """Neither the edges nor the visited nodes are shuffled again by a hop, even where nothing can be broadcast."""
     monkeypatch.setattr(graph, "HUB_EDGES", hub)
     edges = graph.edge_set(spark.range(5000).selectExpr("id % 100 as x", "id as y"), "x", "y")
-    front = spark.range(3000).selectExpr("id % 3 as root", "id as src")
+    front = spark.range(3000).selectExpr("id % 3 as root", "id as n", "struct(0 as depth) as x")
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         layout = graph._Layout(edges)
-        visited = graph.Bucketed(front.select("root", F.col("src").alias("n")), ("root", "n"), 3000)
-        step = layout.step(front)
-        new = step.select("root", "n").distinct().join(visited.frame(), ["root", "n"], "left_anti")
+        visited = graph.Bucketed(front.select("root", "n"), ("root", "n"), 3000)
+        step = layout.step(front, 0, ("depth",), hashed=hub == 20)
+        new = step.groupBy("root", "n").agg(F.min("x").alias("x")).join(visited.frame(), ["root", "n"], "left_anti")
         one, both = (df._jdf.queryExecution().executedPlan().toString() for df in (step, new))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
