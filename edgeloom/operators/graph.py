@@ -7,7 +7,7 @@ does not:
   chain costs no job per level.
 * Any other graph is laid out once in buckets by source, a hub's edges salted over several buckets, and the visited nodes
   lie in buckets by (root, node). A hop shuffles only the frontier and its neighbours, neither edges nor visited nodes. Up
-  to ``HOPS`` hops are one job while the frontier is thin; nodes met twice within a job are folded at its end. Each job
+  to ``HOPS`` hops are one job while the frontier is thin, as a single chain of joins. Each job
   appends to the visited table in the shared folder, which bounds the plan and survives the loss of executors.
 
 A seed is part of its closure even if no edge knows it; null ends are never followed.
