@@ -102,7 +102,7 @@ QUERIES = {
     "capabilities_of": _q(lambda s: v.capabilities_of(s.effects, COMPONENT)),
     "compose": _q(lambda s: v.compose(s.attack_edges, s.effects, action(s))),
     "removes_guard": _q(lambda s: v.removes_guard(s.attack_edges, s.effects, GUARD)),
-    "actor_paths": _q(lambda s: v.actor_paths(s.effects, TOUCHED)),
+    "actor_paths": _q(lambda s: v.actor_paths(s.raw("function_effects"), TOUCHED)),
     "actor_paths_touched": _q(lambda s: v.actor_paths(as_loaded(s), RESOURCE)),
     "prune": _q(lambda s: v.prune(s.attack_edges, s.effects, COMPONENT, OTHER)),
     "prune_pairs": _q(lambda s: v.prune_pairs(s.attack_edges, s.effects, [(a, b) for a in COMPONENTS for b in COMPONENTS if a != b])),

@@ -372,25 +372,31 @@ def removes_guard(edges: DataFrame, effects: DataFrame, guard: str) -> DataFrame
     return gated.join(e, "function_name", "left").select(F.col("function_name").alias("gated_action"), "gating", F.col("from_action").alias("unlocker"), "evidence")
 
 
-#: Rows of a side in one cell of the grid of an unequal join.
-CELL = 4096
+#: Rows of a side in one cell of the grid of an unequal join, and the tasks that the cells are dealt to at most.
+CELL, CELL_TASKS = 2048, 10_000
 
 
 def actor_paths(effects: DataFrame, value_kind: str) -> DataFrame:
     """Pairs of actions of different roles that touch the kind; both orders are given. Letter case counts in ``value_kind`` only.
 
     The result is quadratic in the touching actions by definition. It is made as a join on the cells of a grid: each row
-    is copied along one row or column of cells, so no cell holds more than CELL rows of a side.
+    is copied along one row or column of cells, so a cell holds about CELL rows of a side. Cells are dealt to tasks
+    by number: copies are few bytes and pairs many, so partitions merged by bytes would leave all pairs to a few tasks,
+    and a side that looks small must not be broadcast with its copies. Repeated effects need not be folded before.
     """
     touched = F.col("value_kind").eqNullSafe(value_kind) | F.coalesce("value_touched", F.lit("")).ilike(f'%"kind":"{value_kind}"%')
     side = effects.where(touched & F.col("actor_role").isNotNull()).select("function_name", "actor_role", "value_touched").distinct()
     side = cut(side)
     grid = max(1, -(-side.count() // CELL))
     own = F.pmod(F.xxhash64("function_name", "actor_role", "value_touched"), F.lit(grid)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    a = side.select(F.col("function_name").alias("action_a"), F.col("actor_role").alias("actor_a"), F.col("value_touched").alias("value_touched_a"), own.alias("i")).withColumn("j", every)
-    b = side.select(F.col("function_name").alias("action_b"), F.col("actor_role").alias("actor_b"), F.col("value_touched").alias("value_touched_b"), own.alias("j")).withColumn("i", every)
-    out = a.join(b, ["i", "j"]).where((F.col("action_a") != F.col("action_b")) & (F.col("actor_a") != F.col("actor_b")))
+    side, every = side.withColumn("own", own), F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
+
+    def copies(end: str, cell: Column) -> DataFrame:
+        named = [F.col(c).alias(f"{n}_{end}") for c, n in (("function_name", "action"), ("actor_role", "actor"), ("value_touched", "value_touched"))]
+        return side.withColumn("other", every).select(*named, cell.alias("cell")).repartitionById(min(grid * grid, CELL_TASKS), "cell").hint("merge")
+
+    a, b = copies("a", F.col("own") * grid + F.col("other")), copies("b", F.col("other") * grid + F.col("own"))
+    out = a.join(b, "cell").where((F.col("action_a") != F.col("action_b")) & (F.col("actor_a") != F.col("actor_b")))
     return out.select("action_a", "actor_a", "action_b", "actor_b", "value_touched_a", "value_touched_b")
 
 

@@ -151,6 +151,19 @@ def test_actor_paths_over_a_grid(spark, monkeypatch):
         assert sorted((r.action_a, r.actor_a, r.action_b, r.actor_b) for r in v.actor_paths(fx, "HashTbl").collect()) == want
 
 
+@pytest.mark.parametrize("tasks", (10_000, 10))
+def test_actor_paths_are_spread_over_tasks(spark, tasks, monkeypatch):
+    """Each cell of the grid is its own task, or cells are dealt evenly, however few bytes there are; nothing is broadcast."""
+    monkeypatch.setattr(v, "CELL", 50)
+    monkeypatch.setattr(v, "CELL_TASKS", tasks, raising=False)
+    rows = [(f"f{i}", f"r{i % 100}", "HashTbl", None) for i in range(400)]
+    fx = spark.createDataFrame(rows + rows[:7], "function_name string, actor_role string, value_kind string, value_touched string")
+    out = v.actor_paths(fx, "HashTbl")
+    per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 400 * 396 == out.distinct().count() and len(per) == min(64, tasks) and max(per) < 2 * sum(per) / len(per)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("hub", (graph.HUB_EDGES, 20))
 def test_a_hop_moves_only_the_frontier(spark, hub, monkeypatch):
     """Neither the edges nor the visited nodes are shuffled again by a hop, even where nothing can be broadcast."""
