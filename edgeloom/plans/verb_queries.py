@@ -54,8 +54,8 @@ def contract_verdicts(s: Store) -> DataFrame:
 
 
 def as_loaded(s: Store) -> DataFrame:
-    """Effects with touched values in the form in which capabilities are stored."""
-    return s.effects.withColumn("value_touched", text.encode_value_touched(text.parse_value_touched(F.col("value_touched"))))
+    """Effects, repeated rows included, with touched values in the form in which capabilities are stored."""
+    return s.raw("function_effects").withColumn("value_touched", text.encode_value_touched(text.parse_value_touched(F.col("value_touched"))))
 
 
 def dead_named(s: Store) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from edgeloom.errors import RefusedError
 from edgeloom.operators import graph
+from edgeloom.plans import registry
 from edgeloom.plans import verbs as v
 from edgeloom.schemas import DDL
 from pyspark.sql import functions as F
@@ -164,6 +165,17 @@ def test_actor_paths_are_spread_over_tasks(spark, tasks, monkeypatch):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ("actor_paths", "actor_paths_touched"))
+def test_registered_actor_paths_are_spread_over_tasks(spark, name, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    whole = registry.QUERIES[name](spark, folder)
+    monkeypatch.setattr(v, "CELL", 20)
+    out = registry.QUERIES[name](spark, folder)
+    per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) >= 25 and max(per) < 4 * sum(per) / len(per)  # five or six parts a side
+    assert sum(per) > 0 and out.exceptAll(whole).isEmpty() and whole.exceptAll(out).isEmpty()
+
+
 @pytest.mark.parametrize("hub", (graph.HUB_EDGES, 20))
 def test_a_hop_moves_only_the_frontier(spark, hub, monkeypatch):
     """Neither the edges nor the visited nodes are shuffled again by a hop, even where nothing can be broadcast."""
